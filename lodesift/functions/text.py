@@ -1,7 +1,9 @@
-"""Column expressions on text."""
+"""Column expressions on text, and the words of a text for Arrow functions."""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -26,3 +28,16 @@ def plain(x: str | Column) -> Column:
 def filled(x: str | Column) -> Column:
     """True where the text is neither null nor blank."""
     return F.coalesce(trimmed(x) != "", F.lit(False))
+
+
+WORD = re.compile(r"[^\W_]+")
+#: Every ASCII character but letters and digits becomes a space.
+TO_SPACE = {c: " " for c in range(128) if not chr(c).isalnum()}
+
+
+def words_of(text: str | None) -> list[str]:
+    """Runs of letters and digits in lower case."""
+    if not text:
+        return []
+    low = text.lower()
+    return low.translate(TO_SPACE).split() if low.isascii() else WORD.findall(low)
