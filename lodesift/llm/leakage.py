@@ -17,7 +17,6 @@ only as a whole run; a repeated item or document has a row for each id; texts ar
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from functools import reduce
 
@@ -27,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from lodesift.functions.text import words_of
 from lodesift.session import table
 
 RUN, WINDOW, STRETCH, SHARE = 13, 30, 38, 80
@@ -38,14 +38,9 @@ LONG = STRETCH + STEP
 BLOCK_ITEMS = 2_000
 #: Bit words handled at once.
 CHUNK = 1_000_000
-WORD = re.compile(r"[^\W_]+")
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
-def words_of(text: str | None) -> list[str]:
-    return WORD.findall(text.lower()) if text else []
-
-
 def common_subsequence(a: list[int], b: list[int]) -> int:
     """Length of the longest common subsequence, a bit for each word of a."""
     at: dict[int, int] = {}

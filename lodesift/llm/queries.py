@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodesift.llm import canonical, components, encode, near, overlap, proportions, splits, stable_sample
+from lodesift.llm import canonical, components, encode, leakage, near, overlap, proportions, quality, splits, stable_sample
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,6 +41,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p7_components": stable_sample.component_sample,
     "p8_ids": encode.document_ids,
     "p8_bytes": encode.token_counts,
+    "p9_found": leakage.benchmark_leaks,
+    "p10_found": quality.poor_documents,
+    "p10_passages": quality.document_passages,
 }
 
 SQL: dict[str, str] = {}
