@@ -41,3 +41,108 @@ def words_of(text: str | None) -> list[str]:
         return []
     low = text.lower()
     return low.translate(TO_SPACE).split() if low.isascii() else WORD.findall(low)
+
+
+def normalized(x: str | Column) -> Column:
+    """Trimmed, folded and with single spaces."""
+    return F.regexp_replace(F.replace(plain(x), F.lit("ß"), F.lit("ss")), r"\s+", " ")
+
+
+def token_set(x: str | Column) -> Column:
+    """Distinct runs of a-z and 0-9."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(col(x)), F.lit("([a-z0-9]+)")))
+
+
+def lexical_distance(a: str | Column, b: str | Column) -> Column:
+    """1 less the share of common tokens, 0.05 more if the first characters differ; 0 if a side has no token."""
+    x, y = token_set(a), token_set(b)
+    share = F.size(F.array_intersect(x, y)) / F.nullif(F.size(F.array_union(x, y)), F.lit(0))
+    first = F.when(F.substring(normalized(a), 1, 1) != F.substring(normalized(b), 1, 1), 0.05).otherwise(0.0)
+    return F.when((F.size(x) > 0) & (F.size(y) > 0), 1 - share + first).otherwise(F.lit(0.0))
+
+
+def family(x: str | Column, families: dict[str, tuple[str, ...]]) -> Column:
+    """The first family, in the given order, one of whose words the text holds."""
+    text, out = normalized(x), F.lit(None).cast("string")
+    for name, words in reversed(families.items()):
+        out = F.when(text.rlike("|".join(map(re.escape, words))), F.lit(name)).otherwise(out)
+    return out
+
+
+def value_distance(a: str | Column, b: str | Column, families: dict[str, tuple[str, ...]]) -> Column:
+    """Lexical distance, 2 more for values of different families, a fifth of it for values of the same."""
+    d, x, y = lexical_distance(a, b), family(a, families), family(b, families)
+    return F.when(x == y, d * 0.2).when(x.isNotNull() & y.isNotNull(), d + 2.0).otherwise(d)
+
+
+def phrase_pattern(phrase: str | Column) -> Column:
+    """Pattern of the phrase's words, joined by separators or "and", with word bounds, in any letter case."""
+    words = F.regexp_extract_all(F.lower(col(phrase)), F.lit("([a-z0-9]+)"))
+    return F.concat(F.lit(r"(?i)(?<![A-Za-z0-9])"), F.array_join(words, r"(?:[\s_/&,-]+|\s+and\s+)+"), F.lit(r"(?![A-Za-z0-9])"))
+
+
+def literal_replacement(x: str | Column) -> Column:
+    """The text as a replacement that stands for itself in regexp_replace."""
+    return F.replace(F.replace(col(x), F.lit("\\"), F.lit("\\\\")), F.lit("$"), F.lit("\\$"))
+
+
+def replace_phrase(text: str | Column, old: str | Column, new: str | Column) -> Column:
+    """Every mention of the phrase replaced; unchanged where the phrase has no words."""
+    has = F.size(token_set(old)) > 0
+    return F.when(has, F.regexp_replace(col(text), phrase_pattern(old), literal_replacement(new))).otherwise(col(text))
+
+
+def mentions(text: str | Column, phrase: str | Column) -> Column:
+    return F.when(F.size(token_set(phrase)) > 0, F.regexp_count(col(text), phrase_pattern(phrase))).otherwise(F.lit(0))
+
+
+def scattered_mention(text: str | Column, phrase: str | Column, slack: int = 3) -> Column:
+    """Whether all words of the phrase stand, in any order, in a window of ``slack`` words more than it has."""
+    words = F.regexp_extract_all(F.lower(col(text)), F.lit("([a-z0-9]+)"))
+    need = token_set(phrase)
+    n = F.size(need)
+    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(words) - n + 1))
+    return (n > 1) & (F.size(words) >= n) & F.exists(starts, lambda i: F.size(F.array_except(need, F.slice(words, i, n + slack))) == 0)
+
+
+def one_value(values: str | Column, most: int) -> Column:
+    """The only distinct trimmed value of 1 to ``most`` characters; null if there are none or several."""
+    fit = F.array_distinct(F.filter(F.transform(col(values), trimmed), lambda x: (F.length(x) > 0) & (F.length(x) <= most)))
+    return F.when(F.size(fit) == 1, F.get(fit, F.lit(0)))
+
+
+def first_value(values: str | Column, most: int) -> Column:
+    """The first trimmed value of 1 to ``most`` characters."""
+    return F.get(F.filter(F.transform(col(values), trimmed), lambda x: (F.length(x) > 0) & (F.length(x) <= most)), F.lit(0))
+
+
+def general_number(x: str | Column) -> Column:
+    """Six significant digits without trailing zeros, plain between 1e-4 and 1e6."""
+    v = col(x).cast("double")
+    digits = F.greatest(F.lit(0), F.lit(5) - F.floor(F.log10(F.abs(v)))).cast("int")
+    text = F.format_string("%.10f", F.round(v * F.pow(F.lit(10.0), digits)) / F.pow(F.lit(10.0), digits))
+    short = F.regexp_replace(F.regexp_replace(text, "0+$", ""), r"\.$", "")
+    return F.when(v == 0, F.lit("0")).when((F.abs(v) >= 1e-4) & (F.abs(v) < 1e6), short).otherwise(F.format_string("%.5e", v))
+
+
+def safe_file_name(x: str | Column) -> Column:
+    """Characters other than letters, digits, . _ + - replaced by _, with eight hash digits added if any was."""
+    safe = F.regexp_replace(col(x), "[^A-Za-z0-9._+-]", "_")
+    return F.when(safe == col(x), safe).otherwise(F.concat(safe, F.lit("__"), F.substring(F.sha2(col(x), 256), 1, 8)))
+
+
+def flat_references(x: str | Column) -> Column:
+    """Trimmed, non-empty parts of a text delimited by semicolons or pipes."""
+    return F.filter(F.transform(F.split(F.coalesce(col(x), F.lit("")), "[;|]"), trimmed), lambda p: p != "")
+
+
+def normal_value(x: str | Column, aliases: dict[str, str] | None = None) -> Column:
+    """A value for comparison: no separators, lengths in centimetres, aliases replaced."""
+    bare = F.regexp_replace(F.lower(trimmed(x)), r"[\s_-]", "")
+    number = F.regexp_extract(bare, r"^(\d+(?:\.\d+)?)(mm|cm|m)$", 1)
+    unit = F.regexp_extract(bare, r"^(\d+(?:\.\d+)?)(mm|cm|m)$", 2)
+    factor = F.when(unit == "mm", 0.1).when(unit == "m", 100.0).otherwise(1.0)
+    out = F.when(unit != "", F.concat(general_number(F.nullif(number, F.lit("")).cast("double") * factor), F.lit("cm"))).otherwise(bare)
+    for short, full in (aliases or {}).items():
+        out = F.when(bare == short, F.lit(full)).otherwise(out)
+    return out
