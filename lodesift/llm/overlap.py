@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodesift.functions.hashing import bits64, hamming
+from lodesift.functions.hashing import hamming
 from lodesift.llm.pictures import latest_samples, named_pictures, split_name
 from lodesift.session import Scratch, partitions, table
 
@@ -30,13 +30,14 @@ SLICES = 6
 BLOCK = 64
 SHARD_WORDS = 400_000
 SEPARATOR = 10
+CUTS = [round(64 * i / SLICES) for i in range(SLICES + 1)]
+CHOICES = list(combinations(range(SLICES), SLICES - NEAR_BITS))
 
 
 class FullTextIndex:
-    """Backward search over distinct words that stand between separators."""
+    """Backward search over a text of words that stand between separators."""
 
-    def __init__(self, words: list[bytes]):
-        text = np.frombuffer(b"\n" + b"".join(w + b"\n" for w in words) + b"\0", np.uint8)
+    def __init__(self, text: np.ndarray):
         order = self.suffixes(text)
         self.bwt = text[order - 1]
         self.size = len(text)
@@ -80,60 +81,100 @@ class FullTextIndex:
         inside = (self.blocks[block] == c[:, None].astype(np.uint8)) & (np.arange(BLOCK) < rest[:, None])
         return self.before[block, c] + inside.sum(1)
 
-    def longest(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """For each word between separators: length of its longest suffix in the index, and its occurrences."""
-        length = np.zeros(len(words), np.int64)
-        times = np.zeros(len(words), np.int64)
-        sizes = np.fromiter((len(w) + 2 for w in words), np.int64, len(words))
-        for size in np.unique(sizes):
-            at = np.flatnonzero(sizes == size)
-            grid = np.frombuffer(b"".join(b"\n" + words[i] + b"\n" for i in at), np.uint8).reshape(len(at), size)
-            low, high = np.zeros(len(at), np.int64), np.full(len(at), self.size, np.int64)
-            alive = np.arange(len(at))
-            for j in range(size - 1, -1, -1):
-                c = self.code[grid[alive, j]].astype(np.int64)
-                known = c >= 0
-                alive, c, lo, hi = alive[known], c[known], low[known], high[known]
-                lo, hi = self.first[c] + self.rank(c, lo), self.first[c] + self.rank(c, hi)
-                found = lo < hi
-                alive, low, high = alive[found], lo[found], hi[found]
-                length[at[alive]] = size - j
-                times[at[alive]] = high - low
-                if not len(alive):
-                    break
-        return length, times
-
-
-def matches(streamed: DataFrame, indexed: DataFrame, most: int = SHARD_WORDS) -> DataFrame:
+    def longest(self, grid: np.ndarray) -> np.ndarray:
+        """For each row of characters, the length of its longest suffix in the text."""
+        length = np.zeros(len(grid), np.int64)
+        low, high = np.zeros(len(grid), np.int64), np.full(len(grid), self.size, np.int64)
+        alive = np.arange(len(grid))
+        for j in range(grid.shape[1] - 1, -1, -1):
+            c = self.code[grid[alive, j]].astype(np.int64)
+            known = c >= 0
+            alive, c, low, high = alive[known], c[known], low[known], high[known]
+            low, high = self.first[c] + self.rank(c, low), self.first[c] + self.rank(c, high)
+            found = low < high
+            alive, low, high = alive[found], low[found], high[found]
+            length[alive] = grid.shape[1] - j
+            if not len(alive):
+                break
+        return length
+
+
+def whole_words(held: list[bytes], streamed: list[bytes]) -> np.ndarray:
+    """Which streamed words stand whole between separators in the text of the held ones."""
+    index = FullTextIndex(np.frombuffer(b"\n" + b"".join(w + b"\n" for w in sorted(set(held))) + b"\0", np.uint8))
+    sizes = np.fromiter(map(len, streamed), np.int64, len(streamed))
+    out = np.zeros(len(streamed), bool)
+    for size in np.unique(sizes):
+        at = np.flatnonzero(sizes == size)
+        grid = np.frombuffer(b"".join(b"\n" + streamed[i] + b"\n" for i in at), np.uint8).reshape(len(at), size + 2)
+        out[at] = index.longest(grid) == size + 2
+    return out
+
+
+def shards_for(spark, rows: int, most: int = SHARD_WORDS) -> int:
+    return max(2 * partitions(spark), rows // most)
+
+
+def shared_words(streamed: DataFrame, indexed: DataFrame) -> DataFrame:
     """The words of ``streamed`` that ``indexed`` holds whole; both have one column ``word`` of distinct words."""
-    spark = streamed.sparkSession
-    shards = max(2 * partitions(spark), indexed.count() // most, streamed.count() // (4 * most))
+    shards = shards_for(streamed.sparkSession, streamed.count() + indexed.count())
     shard = F.pmod(F.xxhash64("word"), F.lit(shards)).cast("int").alias("shard")
 
     def search(held: pd.DataFrame, stream: pd.DataFrame) -> pd.DataFrame:
         if not len(held) or not len(stream):
-            return pd.DataFrame({"word": pd.Series([], dtype=object)})
-        index = FullTextIndex([w.encode() for w in held["word"]])
-        words = stream["word"]
-        length, _ = index.longest([w.encode() for w in words])
-        whole = length == np.fromiter((len(w.encode()) + 2 for w in words), np.int64, len(words))
-        return pd.DataFrame({"word": words[whole]})
+            return pd.DataFrame({"word": pd.Series(dtype=str)})  # an empty side has no columns
+        return stream[["word"]][whole_words([w.encode() for w in held["word"]], [w.encode() for w in stream["word"]])]
 
     return indexed.select("word", shard).groupBy("shard").cogroup(streamed.select("word", shard).groupBy("shard")).applyInPandas(search, "word string")
 
 
+def slice_grid(bits: np.ndarray, choice: np.ndarray) -> np.ndarray:
+    """The words of hashes for their choices of two slices, as rows of six characters between separators."""
+    bits = bits.astype(np.uint64)
+    grid = np.full((len(bits), 7), SEPARATOR, np.uint8)
+    grid[:, 1] = 64 + choice
+    for k, (i, j) in enumerate(CHOICES):
+        at = np.flatnonzero(choice == k)
+        value = sum(((bits[at] >> np.uint64(CUTS[s])) & np.uint64((1 << (CUTS[s + 1] - CUTS[s])) - 1)) << np.uint64(shift) for s, shift in ((i, 12), (j, 0)))
+        for d in range(4):
+            grid[at, 5 - d] = 64 + ((value >> np.uint64(6 * d)) & np.uint64(63))
+    return grid
+
+
+def meeting_hashes(rows: DataFrame) -> DataFrame:
+    """(side, bits, choice) of the hashes that agree with one of the other side in a choice of two slices.
+
+    rows: (side, bits), once each; side is t or e, and the hashes of side e are indexed.
+    """
+    spread = rows.select("side", "bits", F.posexplode(slice_values("bits")).alias("choice", "value"))
+    shard = F.pmod(F.xxhash64("choice", "value"), F.lit(shards_for(rows.sparkSession, len(CHOICES) * rows.count()))).cast("int")
+    spread = spread.select(shard.alias("shard"), "side", "bits", F.col("choice").cast("short").alias("choice"))
+
+    def search(held: pd.DataFrame, stream: pd.DataFrame) -> pd.DataFrame:
+        if not len(held) or not len(stream):
+            return pd.DataFrame({"side": pd.Series(dtype=str), "bits": pd.Series(dtype="int64"), "choice": pd.Series(dtype="int16")})
+        stream = stream.rename(columns=lambda c: c.removesuffix("_t"))
+        own, other = slice_grid(held["bits"].to_numpy(), held["choice"].to_numpy()), slice_grid(stream["bits"].to_numpy(), stream["choice"].to_numpy())
+        as_text = lambda grid: np.concatenate([np.unique(grid[:, :6], axis=0).ravel(), np.array([SEPARATOR, 0], np.uint8)])
+        met = FullTextIndex(as_text(own)).longest(other) == other.shape[1]
+        back = FullTextIndex(as_text(other[met])).longest(own) == own.shape[1] if met.any() else np.zeros(len(own), bool)
+        return pd.concat([stream[met], held[back]])[["side", "bits", "choice"]]
+
+    held = spread.where("side = 'e'").groupBy("shard")
+    stream = spread.where("side = 't'").select(*[F.col(c).alias(f"{c}_t") for c in spread.columns]).groupBy("shard_t")
+    return held.cogroup(stream).applyInPandas(search, "side string, bits bigint, choice short")
+
+
 def number_key(sample_id: str | Column = "sample_id") -> Column:
     """Product code in upper case and number, the last two parts of an id; null where there are no such parts."""
     parts = F.regexp_extract(sample_id, r"([^_]+)_0*(\d+)$", 0)
     return F.when(parts != "", F.concat(F.upper(F.regexp_extract(sample_id, r"([^_]+)_0*(\d+)$", 1)), F.lit("_"), F.regexp_extract(sample_id, r"([^_]+)_0*(\d+)$", 2)))
 
 
-def hash_words(bits: str) -> Column:
-    """The words of a perceptual hash: each choice of two slices with their bits."""
-    cut = [round(64 * i / SLICES) for i in range(SLICES + 1)]
-    part = [F.shiftrightunsigned(F.shiftleft(bits, 64 - b), 64 - b + a) for a, b in zip(cut, cut[1:], strict=False)]
-    chosen = list(combinations(range(SLICES), SLICES - NEAR_BITS))
-    return F.array(*[F.concat(F.lit(f"h{chr(97 + k)}"), F.conv((F.shiftleft(part[i], cut[j + 1] - cut[j]) + part[j]).cast("string"), 10, 36)) for k, (i, j) in enumerate(chosen)])
+def slice_values(bits: str) -> Column:
+    """The value of each choice of two slices of a perceptual hash."""
+    part = [F.shiftrightunsigned(F.shiftleft(bits, 64 - b), 64 - b + a) for a, b in zip(CUTS, CUTS[1:], strict=False)]
+    return F.array(*[F.shiftleft(part[i], 12) + part[j] for i, j in CHOICES])
 
 
 def overlaps(samples: DataFrame, assets: DataFrame) -> DataFrame:
@@ -147,24 +188,20 @@ def overlaps(samples: DataFrame, assets: DataFrame) -> DataFrame:
     sided = samples.where("sample_id is not null").withColumn("side", F.when(named == "train", "t").when(named.isin("validation", "test"), "e")).where("side is not null")
     sided = sided.select("sample_id", "side", "source_image_ids")
     shown = named_pictures(sided.withColumn("id", F.struct("sample_id", "side")), assets, "id", phash=True)
-    shown = scratch.write(shown.select("id.sample_id", "id.side", "picture", bits64("phash").alias("bits")), "shown")
+    shown = scratch.write(shown.select("id.sample_id", "id.side", "picture", "bits"), "shown")
     keys = sided.select("sample_id", "side", F.concat(F.lit("k"), number_key()).alias("word")).where("word is not null")
-    pictures = shown.select("sample_id", "side", F.concat(F.lit("p"), "picture").alias("word")).distinct()
+    pictures = shown.select("sample_id", "side", F.concat(F.lit("p"), F.base64("picture")).alias("word")).distinct()
     whole = scratch.write(keys.unionByName(pictures), "whole")
-    near = shown.where("bits is not null").select("side", "bits").distinct()
-    near = scratch.write(near.select("side", "bits", F.explode(hash_words("bits")).alias("word")), "near")
-    words = whole.select("side", "word").unionByName(near.select("side", "word")).distinct()
-    words = scratch.write(words, "words")
-    shared = scratch.write(matches(words.where("side = 't'").select("word"), words.where("side = 'e'").select("word")), "shared")
-
-    def meeting(rows: DataFrame, value: str) -> DataFrame:
-        t = rows.where("side = 't'").join(shared, "word", "left_semi").select("word", F.col(value).alias("t"))
-        e = rows.where("side = 'e'").join(shared, "word", "left_semi").select("word", F.col(value).alias("e"))
-        return t.join(e, "word")
-
-    same = meeting(whole, "sample_id").select("t", "e", F.substring("word", 1, 1).alias("kind"))
-    close = meeting(near, "bits").where(hamming("t", "e") <= NEAR_BITS).select(F.col("t").alias("tb"), F.col("e").alias("eb")).distinct()
-    of = lambda side, b, name: shown.where(F.col("side") == side).select(F.col("bits").alias(b), F.col("sample_id").alias(name))
+    of_side = lambda side: whole.where(F.col("side") == side).select("word").distinct()
+    shared = scratch.write(shared_words(of_side("t"), of_side("e")), "shared")
+    end = lambda rows, side, on, value, name: rows.where(F.col("side") == side).select(*on, F.col(value).alias(name))
+    met = whole.join(shared, "word", "left_semi")
+    same = end(met, "t", ["word"], "sample_id", "t").join(end(met, "e", ["word"], "sample_id", "e"), "word").select("t", "e", F.substring("word", 1, 1).alias("kind"))
+    hashes = scratch.write(shown.where("bits is not null").select("side", "bits").distinct(), "hashes")
+    near = scratch.write(meeting_hashes(hashes).withColumn("value", F.get(slice_values("bits"), F.col("choice").cast("int"))), "near")
+    on = ["choice", "value"]
+    close = end(near, "t", on, "bits", "tb").join(end(near, "e", on, "bits", "eb"), on).where(hamming("tb", "eb") <= NEAR_BITS).select("tb", "eb").distinct()
+    of = lambda side, b, name: shown.where(F.col("side") == side).select(F.col("bits").alias(b), F.col("sample_id").alias(name)).distinct()
     close = close.join(of("t", "tb", "t"), "tb").join(of("e", "eb", "e"), "eb").select("t", "e", F.lit("n").alias("kind"))
     return (
         same.unionByName(close).groupBy(F.col("t").alias("train_id"), F.col("e").alias("other_id"))
