@@ -49,12 +49,13 @@ def sketch_length(n: Column, threshold: float, order: int) -> Column:
 
 
 def sketches(sets: DataFrame, threshold: float, order: int) -> DataFrame:
-    """(cls, sketch): the words of the sketch, rarest first, by the order of their block."""
+    """(cls, sketch): the words of the sketch that another class has too, rarest first, by the order of their block."""
     flat = sets.select("cls", "block", F.size("features").alias("n"), F.explode("features").alias("f"))
     often = flat.groupBy("block", "f").agg(F.count("*").alias("often"))
     ranked = flat.join(often, ["block", "f"]).groupBy("cls", "block", "n").agg(F.array_sort(F.collect_list(F.struct("often", F.xxhash64("f").alias("h"), "f"))).alias("all"))
     cut = F.slice("all", F.lit(1), F.least(F.col("n"), sketch_length(F.col("n"), threshold, order)).cast("int"))
-    return ranked.select("cls", "block", F.transform(cut, lambda x: x["h"]).alias("sketch"))
+    # a word that no other class of the block has can't be shared; it counts for the length only
+    return ranked.select("cls", "block", F.transform(F.filter(cut, lambda x: x["often"] > 1), lambda x: x["h"]).alias("sketch"))
 
 
 def buckets(sketched: DataFrame, order: int) -> DataFrame:
@@ -62,7 +63,7 @@ def buckets(sketched: DataFrame, order: int) -> DataFrame:
     block = F.xxhash64("block")
     if order == 1:
         return sketched.select("cls", F.explode("sketch").alias("h")).select("cls", F.xxhash64(block, "h").alias("key"))
-    at = F.sequence(F.lit(0), F.size("sketch") - 2)
+    at = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("sketch") - 2))
     pairs = F.flatten(
         F.transform(at, lambda i: F.transform(F.slice("sketch", i + 2, F.size("sketch")), lambda y: F.struct(F.least(F.get("sketch", i), y).alias("x"), F.greatest(F.get("sketch", i), y).alias("y"))))
     )
