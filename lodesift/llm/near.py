@@ -50,17 +50,19 @@ def sketch_length(n: Column, threshold: float, order: int) -> Column:
 
 def sketches(sets: DataFrame, threshold: float, order: int) -> DataFrame:
     """(cls, sketch): the words of the sketch that another class has too, rarest first, by the order of their block."""
-    flat = sets.select("cls", "block", F.size("features").alias("n"), F.explode("features").alias("f"))
-    often = flat.groupBy("block", "f").agg(F.count("*").alias("often"))
-    ranked = flat.join(often, ["block", "f"]).groupBy("cls", "block", "n").agg(F.array_sort(F.collect_list(F.struct("often", F.xxhash64("f").alias("h"), "f"))).alias("all"))
-    cut = F.slice("all", F.lit(1), F.least(F.col("n"), sketch_length(F.col("n"), threshold, order)).cast("int"))
-    # a word that no other class of the block has can't be shared; it counts for the length only
-    return ranked.select("cls", "block", F.transform(F.filter(cut, lambda x: x["often"] > 1), lambda x: x["h"]).alias("sketch"))
+    # words go by their hash: two words of one hash count as one, which only adds candidates
+    flat = sets.select("cls", F.xxhash64("block").alias("block"), F.size("features").alias("n"), F.explode(F.transform("features", lambda f: F.xxhash64(f))).alias("h"))
+    often = flat.groupBy("block", "h").agg(F.count("*").alias("often")).where("often > 1")
+    # a word that no other class of the block has can't be shared; such words come first and count for the length only
+    shared = flat.join(often, ["block", "h"]).groupBy("cls", "block", "n").agg(F.array_sort(F.collect_list(F.struct("often", "h"))).alias("all"))
+    left = sketch_length(F.col("n"), threshold, order) - (F.col("n") - F.size("all"))
+    cut = F.slice("all", F.lit(1), F.greatest(F.lit(0), F.least(F.size("all"), left)).cast("int"))
+    return shared.select("cls", "block", F.transform(cut, lambda x: x["h"]).alias("sketch"))
 
 
 def buckets(sketched: DataFrame, order: int) -> DataFrame:
     """(key, cls): one row for each word, or each pair of words, of a sketch."""
-    block = F.xxhash64("block")
+    block = F.col("block")
     if order == 1:
         return sketched.select("cls", F.explode("sketch").alias("h")).select("cls", F.xxhash64(block, "h").alias("key"))
     at = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("sketch") - 2))
