@@ -1,15 +1,19 @@
 """Scores of predictions against labelled records.
 
 ``pairs`` always has sample_id, decision, violation_type and p_decision, p_violation_type, where a missing or
-unreadable prediction has p_decision null and counts as INVALID.
+unreadable prediction has p_decision null and counts as INVALID.  issue_subtype, evidence (the picture reference) and
+p_issue_subtype, p_evidence count as null where ``pairs`` lacks them.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodesift.functions.protocol import PLACES, WITH_EVIDENCE
+
 INVALID = "INVALID"
+DETAILS = ("issue_subtype", "evidence", "p_issue_subtype", "p_evidence")
 
 
 def paired(gold: DataFrame, predictions: DataFrame, key: str = "sample_id") -> DataFrame:
@@ -32,19 +36,43 @@ def macro_f1(counts: DataFrame) -> DataFrame:
     return each.select("label", F.coalesce(F.try_divide(2 * F.col("hit"), F.col("both")), F.lit(0.0)).alias("f1"))
 
 
-def report(pairs: DataFrame) -> DataFrame:
-    """One row of rates; a rate without a denominator is null."""
+def type_macro_f1(pairs: DataFrame) -> DataFrame:
+    """One row, macro_f1: the mean F1 over all violation types expected or predicted, INVALID included."""
+    counts = pairs.groupBy(F.col("violation_type").alias("decision"), F.coalesce("p_violation_type", F.lit(INVALID)).alias("predicted")).agg(F.count("*").alias("n"))
+    return macro_f1(counts).agg(F.avg("f1").alias("macro_f1"))
+
+
+def with_details(pairs: DataFrame) -> DataFrame:
+    return pairs.withColumns({c: F.lit(None).cast("string") for c in DETAILS if c not in pairs.columns})
+
+
+def complete() -> Column:
+    """Decision and type are right; so is the place of image_quality and wrong_image, and the subtype of image_quality."""
+    kind = F.col("violation_type")
+    typed = (F.col("decision") == F.col("p_decision")) & (kind == F.col("p_violation_type"))
+    placed = F.col("evidence").isin(*PLACES) & (F.col("evidence") == F.col("p_evidence"))
+    subtyped = F.col("issue_subtype").eqNullSafe(F.col("p_issue_subtype"))
+    return F.coalesce(typed & (~kind.isin(*WITH_EVIDENCE) | F.coalesce(placed, F.lit(False))) & ((kind != "image_quality") | subtyped), F.lit(False))
+
+
+def exact() -> Column:
+    """All four fields of the answer are those of the record."""
+    return complete() & F.col("issue_subtype").eqNullSafe(F.col("p_issue_subtype")) & F.col("evidence").eqNullSafe(F.col("p_evidence"))
+
+
+def report(pairs: DataFrame, detail: bool = True) -> DataFrame:
+    """One row of rates; a rate without a denominator is null.  Without detail, complete is decision and type only."""
     reject, passed = F.col("decision") == "reject", F.col("decision") == "pass"
     said = F.coalesce("p_decision", F.lit(INVALID))
     right = said == F.col("decision")
     typed = F.coalesce(F.col("violation_type") == F.col("p_violation_type"), F.lit(False))
     rate = lambda hit, of: F.try_divide(F.count_if(of & hit), F.count_if(of))
     every = F.lit(True)
-    return pairs.agg(
+    return with_details(pairs).agg(
         F.count("*").alias("n"),
         rate(right, every).alias("decision_accuracy"),
         rate(typed, every).alias("type_accuracy"),
-        rate(right & typed, every).alias("complete_accuracy"),
+        rate(complete() if detail else right & typed, every).alias("complete_accuracy"),
         rate(said == "reject", reject).alias("detection_rate"),
         rate(said == "pass", reject).alias("miss_rate"),
         rate(said == "reject", passed).alias("false_reject_rate"),
@@ -63,9 +91,10 @@ def risk(counts: DataFrame, priors: dict[str, float], costs: dict[tuple[str, str
     return each.agg(F.sum(F.col("cost") / F.col("n") * prior).alias("risk"))
 
 
-def per_class(pairs: DataFrame, by: str = "violation_type") -> DataFrame:
-    exact = F.col("decision").eqNullSafe(F.col("p_decision")) & F.col("violation_type").eqNullSafe(F.col("p_violation_type"))
-    return pairs.groupBy(by).agg(F.count("*").alias("n"), F.count_if(exact).alias("exact"), F.avg(exact.cast("int")).alias("accuracy"))
+def per_class(pairs: DataFrame, by: str = "violation_type", detail: bool = True) -> DataFrame:
+    """(by, n, exact, accuracy): answers right in all four fields, without detail in decision and type only."""
+    right = exact() if detail else F.col("decision").eqNullSafe(F.col("p_decision")) & F.col("violation_type").eqNullSafe(F.col("p_violation_type"))
+    return with_details(pairs).groupBy(by).agg(F.count("*").alias("n"), F.count_if(right).alias("exact"), F.avg(right.cast("int")).alias("accuracy"))
 
 
 def slices(pairs: DataFrame, by: tuple[str, ...]) -> DataFrame:

@@ -18,6 +18,7 @@ from lodesift.streaming.events import windowed
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 COSTS = {("pass", "reject"): 0.75, ("reject", "pass"): 1.0}
+NONE = "~"
 PRIORS = {"pass": 0.6, "reject": 0.4}
 STAGES = (("sft", 0.4), ("grpo", 0.4), ("test", 0.2))
 FAMILIES = {"dark": ("black", "navy", "charcoal"), "warm": ("red", "orange", "yellow", "gold", "brown"), "cool": ("blue", "green", "teal", "cyan")}
@@ -46,12 +47,25 @@ HASH = "('0x' || substr(sha256({0}), 1, 12))::BIGINT / 281474976710656.0"
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled records of all_product, once each, with a made answer of each that is wrong for some hashes."""
-    rows = table(spark, sf_dir, "all_product").where(filled("violation_type")).select("product_id", plain("violation_type").alias("violation_type"), plain("category").alias("category"))
-    rows = rows.groupBy("product_id").agg(F.min("violation_type").alias("violation_type"), F.min("category").alias("category"))
+    rows = table(spark, sf_dir, "all_product").where(filled("violation_type"))
+    rows = rows.select("product_id", *[plain(c).alias(c) for c in ("violation_type", "category", "issue_subtype", "target_image_ref")])
+    # subtype and place are those of a row that has the record's type; NONE sorts behind all of them
+    known = [F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit(NONE)).alias(c) for c in ("issue_subtype", "target_image_ref")]
+    rows = rows.groupBy("product_id").agg(F.min("violation_type").alias("violation_type"), F.min("category").alias("category"), F.min(F.struct("violation_type", *known)).alias("r"))
     u = fraction("product_id")
     said = F.when(u < 0.7, F.col("violation_type")).when(u < 0.8, F.lit("pass")).when(u < 0.95, F.lit("wrong_image"))
     decide = lambda kind: F.when(kind == "pass", F.lit("pass")).when(kind.isNotNull(), F.lit("reject"))
-    return rows.select("product_id", "category", "violation_type", decide(F.col("violation_type")).alias("decision"), said.alias("p_violation_type"), decide(said).alias("p_decision"))
+    rows = rows.select(
+        "product_id", "category", "violation_type", decide(F.col("violation_type")).alias("decision"), said.alias("p_violation_type"), decide(said).alias("p_decision"),
+        F.when((F.col("violation_type") == "image_quality") & (F.col("r.issue_subtype") != NONE), F.col("r.issue_subtype")).alias("issue_subtype"),
+        F.when(F.col("violation_type").isin(*protocol.WITH_EVIDENCE) & F.col("r.target_image_ref").isin(*protocol.PLACES), F.col("r.target_image_ref")).alias("evidence"),
+    )
+    subtype = F.when(fraction(F.concat(F.lit("subtype:"), "product_id")) < 0.7, F.col("issue_subtype")).otherwise(F.lit("blur"))
+    place = F.when(fraction(F.concat(F.lit("place:"), "product_id")) < 0.7, F.coalesce("evidence", F.lit("main"))).otherwise(F.lit("main"))
+    return rows.withColumns({
+        "p_issue_subtype": F.when(F.col("p_violation_type") == "image_quality", subtype),
+        "p_evidence": F.when(F.col("p_violation_type").isin(*protocol.WITH_EVIDENCE), place),
+    })
 
 
 RECORDS = f"""r0 AS (SELECT product_id, min({PLAIN.format('violation_type')}) AS violation_type, min({PLAIN.format('category')}) AS category
@@ -60,6 +74,16 @@ r1 AS (SELECT *, {HASH.format('product_id')} AS u FROM r0),
 r2 AS (SELECT product_id, category, violation_type, CASE WHEN violation_type = 'pass' THEN 'pass' ELSE 'reject' END AS decision,
   CASE WHEN u < 0.7 THEN violation_type WHEN u < 0.8 THEN 'pass' WHEN u < 0.95 THEN 'wrong_image' END AS p_violation_type FROM r1),
 r AS (SELECT *, CASE WHEN p_violation_type = 'pass' THEN 'pass' WHEN p_violation_type IS NOT NULL THEN 'reject' END AS p_decision FROM r2)"""
+#: The records with subtypes and places: rd, after RECORDS; x has which parts of the answer are right.
+DETAILED = f"""g0 AS (SELECT product_id, {PLAIN.format('violation_type')} AS kind, nullif({PLAIN.format('issue_subtype')}, '') AS s, nullif({PLAIN.format('target_image_ref')}, '') AS t FROM all_product WHERE {SPACE.format('violation_type')} <> ''),
+g AS (SELECT * FROM g0 QUALIFY row_number() OVER (PARTITION BY product_id ORDER BY kind, s NULLS LAST, t NULLS LAST) = 1),
+rd0 AS (SELECT r.*, CASE WHEN kind = 'image_quality' THEN s END AS issue_subtype, CASE WHEN kind IN ('image_quality', 'wrong_image') AND t IN ('main', 'detail:1', 'detail:2') THEN t END AS evidence
+  FROM r JOIN g ON r.product_id IS NOT DISTINCT FROM g.product_id),
+rd AS (SELECT *, CASE WHEN p_violation_type = 'image_quality' THEN CASE WHEN {HASH.format("'subtype:' || product_id")} < 0.7 THEN issue_subtype ELSE 'blur' END END AS p_issue_subtype,
+  CASE WHEN p_violation_type IN ('image_quality', 'wrong_image') THEN CASE WHEN {HASH.format("'place:' || product_id")} < 0.7 THEN coalesce(evidence, 'main') ELSE 'main' END END AS p_evidence FROM rd0),
+x AS (SELECT *, coalesce(p_decision, 'INVALID') AS said, coalesce(violation_type = p_violation_type, false) AS typed, coalesce(evidence = p_evidence, false) AS placed,
+  issue_subtype IS NOT DISTINCT FROM p_issue_subtype AS subtyped, evidence IS NOT DISTINCT FROM p_evidence AS same_place FROM rd),
+y AS (SELECT *, said = decision AND typed AND (violation_type NOT IN ('image_quality', 'wrong_image') OR placed) AND (violation_type <> 'image_quality' OR subtyped) AS complete FROM x)"""
 CONFUSION = "c AS (SELECT decision, coalesce(p_decision, 'INVALID') AS predicted, count(*) AS n FROM r GROUP BY ALL)"
 
 
@@ -82,9 +106,24 @@ round(avg((said = decision AND typed)::INT), 9) AS complete_accuracy,
 round(avg((said = 'reject')::INT) FILTER (decision = 'reject'), 9) AS detection_rate, round(avg((said = 'pass')::INT) FILTER (decision = 'reject'), 9) AS miss_rate,
 round(avg((said = 'reject')::INT) FILTER (decision = 'pass'), 9) AS false_reject_rate, round(avg((said = 'INVALID')::INT), 9) AS invalid_rate FROM s""")
 def eval_report(spark, d):
+    return rounded(evaluate.report(records(spark, d), detail=False))
+
+
+@query(f"""WITH {RECORDS}, {DETAILED} SELECT count(*) AS n, round(avg((said = decision)::INT), 9) AS decision_accuracy, round(avg(typed::INT), 9) AS type_accuracy,
+round(avg(complete::INT), 9) AS complete_accuracy,
+round(avg((said = 'reject')::INT) FILTER (decision = 'reject'), 9) AS detection_rate, round(avg((said = 'pass')::INT) FILTER (decision = 'reject'), 9) AS miss_rate,
+round(avg((said = 'reject')::INT) FILTER (decision = 'pass'), 9) AS false_reject_rate, round(avg((said = 'INVALID')::INT), 9) AS invalid_rate FROM y""")
+def eval_report_complete(spark, d):
     return rounded(evaluate.report(records(spark, d)))
 
 
+@query(f"""WITH {RECORDS}, s AS (SELECT violation_type AS a, coalesce(p_violation_type, 'INVALID') AS b FROM r), l AS (SELECT a AS label FROM s UNION SELECT b FROM s),
+f AS (SELECT label, (SELECT count(*) FROM s WHERE a = label AND b = label) AS hit, (SELECT count(*) FROM s WHERE a = label) + (SELECT count(*) FROM s WHERE b = label) AS n FROM l)
+SELECT round(avg(2.0::DOUBLE * hit / n), 9) AS macro_f1 FROM f""")
+def type_macro_f1(spark, d):
+    return rounded(evaluate.type_macro_f1(records(spark, d)))
+
+
 @query(f"""WITH {RECORDS}, {CONFUSION}, e AS (SELECT decision, sum(n * CASE WHEN decision = predicted THEN 0.0 WHEN decision = 'pass' AND predicted = 'reject' THEN 0.75 ELSE 1.0 END)::DOUBLE AS cost,
 sum(n) AS n FROM c GROUP BY decision) SELECT round(sum(cost / n * CASE decision WHEN 'pass' THEN 0.6 ELSE 0.4 END), 9) AS risk FROM e""")
 def expected_cost(spark, d):
@@ -94,6 +133,12 @@ def expected_cost(spark, d):
 @query(f"""WITH {RECORDS}, x AS (SELECT violation_type, (decision IS NOT DISTINCT FROM p_decision AND violation_type IS NOT DISTINCT FROM p_violation_type)::INT AS e FROM r)
 SELECT violation_type, count(*) AS n, sum(e)::BIGINT AS exact, round(avg(e), 9) AS accuracy FROM x GROUP BY violation_type""")
 def eval_per_class(spark, d):
+    return rounded(evaluate.per_class(records(spark, d), detail=False))
+
+
+@query(f"""WITH {RECORDS}, {DETAILED}, z AS (SELECT violation_type, (complete AND subtyped AND same_place)::INT AS e FROM y)
+SELECT violation_type, count(*) AS n, sum(e)::BIGINT AS exact, round(avg(e), 9) AS accuracy FROM z GROUP BY violation_type""")
+def eval_per_class_exact(spark, d):
     return rounded(evaluate.per_class(records(spark, d)))
 
 
@@ -117,6 +162,16 @@ def reward_components(spark, d):
     return rounded(scored.select("product_id", "s.before", "s.reward"))
 
 
+@query(f"""WITH {RECORDS}, {DETAILED}, s AS (SELECT product_id, violation_type IN ('image_quality', 'wrong_image') AS ev, violation_type = 'image_quality' AS su,
+CASE WHEN decision = p_decision THEN 1.0 WHEN decision = 'pass' AND p_decision = 'reject' THEN -0.5 ELSE -1.0 END AS a, typed::INT AS t, (typed AND placed)::INT AS e, (typed AND coalesce(issue_subtype = p_issue_subtype, false))::INT AS i FROM x),
+w AS (SELECT product_id, ev AND e = 0 AS gated, (0.30 * a + 0.35 * t + CASE WHEN ev THEN 0.20 * e ELSE 0 END + CASE WHEN su THEN 0.15 * i ELSE 0 END) / (0.65 + CASE WHEN ev THEN 0.20 ELSE 0 END + CASE WHEN su THEN 0.15 ELSE 0 END) AS b FROM s)
+SELECT product_id, round(b::DOUBLE, 9) AS before, round((CASE WHEN gated AND b > 0 THEN b * 0.70 ELSE b END)::DOUBLE, 9) AS reward FROM w""")
+def reward_components_placed(spark, d):
+    fields = lambda prefix: F.struct(*[F.col(prefix + c).alias(c) for c in protocol.KEYS])
+    scored = records(spark, d).select("product_id", reward.scores(fields(""), fields("p_"), F.col("p_decision").isNotNull(), F.col("p_decision"), COSTS).alias("s"))
+    return rounded(scored.select("product_id", "s.before", "s.reward"))
+
+
 @query("""SELECT user_id, ts::DATE AS day, count(*) AS n, round(avg((event_type = 'purchase')::INT), 9) AS mean,
 (stddev_pop((event_type = 'purchase')::INT) > 1e-8 OR count(*) = 1) AS kept FROM events GROUP BY ALL""")
 def zero_variance_groups(spark, d):

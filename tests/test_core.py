@@ -204,3 +204,40 @@ def test_stream_of_confusions(spark, tmp_path):
     q.awaitTermination(120)
     got = {(r["decision"], r["predicted"]): r["n"] for r in events.accumulated(spark.read.parquet(str(tmp_path / "counts"))).collect()}
     assert got == {("pass", "pass"): 2, ("pass", "reject"): 1}
+
+
+def test_complete_answers_need_subtype_and_place(spark):
+    answer = "decision string, violation_type string, issue_subtype string, evidence string"
+    gold = spark.createDataFrame(
+        [("p", "pass", "pass", None, None), ("q", "reject", "image_quality", "blur", "detail:1"), ("w", "reject", "wrong_image", None, "detail:2"), ("c", "reject", "category_mismatch", None, None)], f"sample_id string, {answer}"
+    )
+    said = spark.createDataFrame(
+        [("p", "pass", "pass", None, None), ("q", "reject", "image_quality", "low_resolution", "detail:1"), ("w", "reject", "wrong_image", None, "main"), ("c", "reject", "category_mismatch", None, None)],
+        "sample_id string, p_decision string, p_violation_type string, p_issue_subtype string, p_evidence string",
+    )
+    pairs = evaluate.paired(gold, said)
+    r = evaluate.report(pairs).first()
+    assert (r["decision_accuracy"], r["type_accuracy"], r["complete_accuracy"], r["detection_rate"]) == (1.0, 1.0, 0.5, 1.0)
+    assert {x["violation_type"]: x["exact"] for x in evaluate.per_class(pairs).collect()} == {"pass": 1, "image_quality": 0, "wrong_image": 0, "category_mismatch": 1}
+    assert evaluate.type_macro_f1(pairs).first()[0] == 1.0
+    same = gold.toDF("sample_id", "p_decision", "p_violation_type", "p_issue_subtype", "p_evidence")
+    assert evaluate.report(evaluate.paired(gold, same)).first()["complete_accuracy"] == 1.0
+    # a record without a place is never complete; without predictions no type is right
+    assert evaluate.report(evaluate.paired(gold.drop("evidence"), same)).first()["complete_accuracy"] == 0.5
+    lost = evaluate.paired(gold, same.where("sample_id = 'p'"))
+    assert evaluate.type_macro_f1(lost).first()[0] == pytest.approx(1 / 5)
+
+
+def test_detailed_queries_match_their_sql(spark):
+    import duckdb
+
+    from lodesift.plans import catalog
+
+    d = "/root/testdata/sf0.001"
+    oracle = duckdb.connect()
+    oracle.execute(f"CREATE VIEW all_product AS SELECT * FROM '{d}/all_product.parquet'")
+    for name in ("eval_report", "macro_f1", "eval_per_class", "reward_components", "eval_report_complete", "type_macro_f1", "eval_per_class_exact", "reward_components_placed"):
+        got = catalog.QUERIES[name](spark, d)
+        expected = oracle.execute(catalog.SQL[name])
+        assert got.columns == [c[0] for c in expected.description]
+        assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, expected.fetchall())), name
