@@ -9,6 +9,8 @@ the most probable run gives the characters of each kind.
 Fitting takes at most ``sample`` labelled documents, those of the smallest id hashes; scoring reads every document
 whole, in Arrow batches and without a shuffle.
 
+Statistics of whole texts come from the same counts.
+
 Defined results: null and blank texts have no passages and are reported with zero counts; labels of unknown
 documents or kinds are left out; without labelled documents nothing can be fitted and an error says so.
 """
@@ -49,6 +51,8 @@ END = (".", "!", "?", "。", "！", "？", ".”", '."', "…")
 BACKGROUND = -35.0
 TURN = 12  # words in which repetition is looked for
 FEATURES = ("words", "word_length", "common", "symbols", "digits", "separators", "distinct", "repeats", "odd", "ends")
+#: Of a whole text: lines that are not blank, words, letters a word, and shares of symbols, of lines that end a sentence and of common words.
+STATISTICS = ("lines", "words", "mean_word_length", "symbol_ratio", "ended_lines", "common_words")
 
 
 class CommonWords:
@@ -61,29 +65,34 @@ class CommonWords:
         self.inside = re.compile("|".join(map(re.escape, inside))) if inside else None
 
 
+def line_counts(low: str, common: CommonWords) -> tuple[list[str], int, int, float, int, list[str]]:
+    """Words, visible characters, letters and digits, words where two ideographs count as one, common words without and with ideographs."""
+    plain = low.isascii()
+    words = low.translate(TO_SPACE).split() if plain else WORD.findall(low)
+    visible = len(low) - sum(map(low.count, SPACES if plain else ALL_SPACES)) or 1
+    letters = sum(map(len, words))
+    hits = sum(map(common.words.__contains__, words))
+    weight, inside = len(words), []
+    if not plain:
+        ideographs = len(IDEOGRAPH.findall(low))
+        if ideographs:
+            long = sum(1 for w in words if IDEOGRAPH.search(w))
+            weight = weight - long + ideographs / 2
+            inside = common.inside.findall(low) if common.inside else []
+    return words, visible, letters, weight, hits, inside
+
+
 def line_statistics(text: str, common: CommonWords) -> tuple[list[list[float]], list[int]]:
     """FEATURES and characters of every line that is not blank."""
     lines = [x for x in text.splitlines() if x and not x.isspace()]
     again = Counter(lines) if len(lines) > 1 else None
-    known, inside = common.words, common.inside
     out = []
     for line in lines:
         low = line.lower()
-        plain = low.isascii()
-        words = low.translate(TO_SPACE).split() if plain else WORD.findall(low)
+        words, visible, letters, weight, hits, inside = line_counts(low, common)
         n = len(words)
-        visible = len(low) - sum(map(low.count, SPACES if plain else ALL_SPACES)) or 1
-        letters = sum(map(len, words))
-        hits = sum(map(known.__contains__, words))
-        weight, odd = n, 0
-        if not plain:
-            ideographs = len(IDEOGRAPH.findall(low))
-            if ideographs:
-                # two ideographs count as a word
-                long = sum(1 for w in words if IDEOGRAPH.search(w))
-                weight = n - long + ideographs / 2
-                hits += 2 * len(inside.findall(low)) if inside else 0
-            odd = len(ODD.findall(low))
+        hits += 2 * len(inside)
+        odd = 0 if low.isascii() else len(ODD.findall(low))
         if n <= TURN:
             distinct = len(set(words)) / n if n else 0.0
         else:
@@ -95,6 +104,23 @@ def line_statistics(text: str, common: CommonWords) -> tuple[list[list[float]],
     return out, [len(x) for x in lines]
 
 
+def text_statistics(text: str | None, common: CommonWords) -> tuple[int, float, float | None, float | None, float | None, float | None]:
+    """STATISTICS of a whole text; those without a denominator are None.
+
+    Two ideographs count as a word, and an ideograph of a common word as half a common word, so the share of common
+    words is at most 1.
+    """
+    lines = [x for x in (text or "").splitlines() if x and not x.isspace()]
+    n = known = 0.0
+    seen = letters = ends = 0
+    for line in lines:
+        _, visible, some, weight, hits, inside = line_counts(line.lower(), common)
+        n, known = n + weight, known + hits + sum(map(len, inside)) / 2
+        seen, letters, ends = seen + visible, letters + some, ends + line.rstrip().endswith(END)
+    share = lambda a, of: a / of if of else None
+    return len(lines), n, share(letters, n), share(seen - letters, seen), share(ends, len(lines)), share(known, n)
+
+
 def scaled(rows: np.ndarray) -> np.ndarray:
     """The statistics on scales on which they spread evenly."""
     x = np.asarray(rows, float).reshape(-1, len(FEATURES)).copy()
@@ -232,8 +258,25 @@ def fitted(docs: DataFrame, labels: DataFrame, common: DataFrame, sample: int =
     rows = sorted((r for r in rows if r[2].strip()), key=lambda r: r[0])
     if not rows:
         raise ValueError("no labelled documents to fit to")
-    words = [r[0] for r in common.where("word is not null").select("word").distinct().collect()]
-    return Reader([r[2] for r in rows], [r[1] for r in rows], CommonWords(words))
+    return Reader([r[2] for r in rows], [r[1] for r in rows], common_words(common))
+
+
+def common_words(common: DataFrame) -> CommonWords:
+    return CommonWords(r[0] for r in common.where("word is not null").select("word").distinct().collect())
+
+
+def statistics(docs: DataFrame, common: CommonWords, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, STATISTICS): one row for each text, null and blank ones with no lines and words and without ratios."""
+    held = docs.sparkSession.sparkContext.broadcast(common)
+    kind = docs.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [text_statistics(t, held.value) for t in batch.column(1).to_pylist()]
+            columns = [pa.array([r[k] for r in found], pa.float64() if k else pa.int64()) for k in range(len(STATISTICS))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], [key, *STATISTICS])
+
+    return docs.select(key, text).mapInArrow(run, f"{key} {kind}, lines bigint, " + ", ".join(f"{c} double" for c in STATISTICS[1:]))
 
 
 def passages(docs: DataFrame, reader: Reader, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -256,6 +299,10 @@ def document_passages(spark, sf_dir: str) -> DataFrame:
     return passages(docs, fitted(docs, table(spark, sf_dir, "labels"), table(spark, sf_dir, "common_word")))
 
 
+def document_statistics(spark, sf_dir: str) -> DataFrame:
+    return statistics(table(spark, sf_dir, "documents"), common_words(table(spark, sf_dir, "common_word")))
+
+
 def poor_documents(spark, sf_dir: str) -> DataFrame:
     """(doc_id): documents at least half of whose characters stand in lists, tables or junk."""
     found = document_passages(spark, sf_dir)

@@ -44,6 +44,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p9_found": leakage.benchmark_leaks,
     "p10_found": quality.poor_documents,
     "p10_passages": quality.document_passages,
+    "p10_statistics": quality.document_statistics,
 }
 
 PLAIN = r"lower(regexp_replace({0}, '^[\s\x{{A0}}]+|[\s\x{{A0}}]+$', '', 'g'))"

@@ -165,3 +165,18 @@ def test_likely_run_bridges_single_lines():
     assert quality.likely_run([9, 9, -3, 9, 9]) == [True] * 5
     assert quality.likely_run([9, 9, -9, -9, -9]) == [True, True, False, False, False]
     assert quality.likely_run([]) == []
+
+
+def test_statistics_of_every_text(spark):
+    from lodesift.llm import queries
+
+    assert "p10_statistics" in queries.QUERIES
+    common = quality.CommonWords(["the", "was", "我们", "的"])
+    rows = spark.createDataFrame([(1, "The cat was in.\n\nred; blue"), (2, None), (3, " \n\t"), (4, "我们的书。"), (5, "--- ***")], "doc_id long, text string").withColumn("words", F.lit(0))
+    got = {r["doc_id"]: tuple(r)[1:] for r in quality.statistics(rows, common).collect()}
+    # letters and digits 3+3+3+2+3+4 of 20 visible characters
+    assert got[1] == (2, 6.0, 18 / 6, 2 / 20, 0.5, 2 / 6)
+    assert got[2] == got[3] == (0, 0.0, None, None, None, None)
+    assert got[4] == (1, 2.0, 2.0, 1 / 5, 1.0, 1.5 / 2)
+    assert got[5] == (1, 0.0, None, 1.0, 0.0, None)
+    assert quality.statistics(rows.limit(0), common).count() == 0
