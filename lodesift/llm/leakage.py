@@ -1,12 +1,13 @@
 """Evaluation texts that stand in training texts.
 
-Size-partitioned MinHash containment search.  A document is taken in overlapping stretches, each the set of its
+Exact containment counts in the place of a size-partitioned MinHash search.  A document is taken in overlapping stretches, each the set of its
 words that tell items apart (those that stand in most items do not).  24 words of an item's 30 that stand in order
 within 38 words of the document leave at least T such words in common, T following from the item alone, so a stretch
 of n such words belongs to size class n: below the least T it holds no item, above it a MinHash sketch of its
-n - T + 1 smallest, in a hash order that puts rare words first, meets every item it may hold.  For the items met,
-containment is counted exactly; what reaches T is verified by the words in their order.  Whole runs are found by
-exact containment of 13-word shingles.
+n - T + 1 smallest, in a hash order that puts rare words first, meets every item it may hold.  Common words are
+counted exactly for every item of the block, not just those met, and an item that reaches T is always met: the counts
+choose the candidates and the sketch decides nothing.  What reaches T is verified by the words in their order.  Whole
+runs are found by a lookup of 13-word shingles, which alone finds items of fewer than 30 words.
 
 The items are taken in blocks of bounded size, each held by every worker; the documents are read once for each
 block, without a shuffle.  Sets of items are bit strings, so a step handles all items of a block at once.
