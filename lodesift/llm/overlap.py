@@ -3,7 +3,8 @@
 The evaluation records' keys, written as words, are spread by hash over shards; each shard is held as a compressed
 full-text index (Burrows-Wheeler transform with sampled rank counts).  The training records' words are streamed
 through backward search on their shard, which gives the longest suffix of each word that the index holds; a match
-that spans a whole word between separators is a shared key.  The spans of a pair are then merged and counted.
+that spans a whole word between separators is a shared key.  The search only thins the words: pairs come from
+equi-joins on the shared words, and no spans are merged or counted.
 
 A picture with a perceptual hash has one word for every choice of two of six slices of its bits: hashes that differ
 in at most four bits agree in at least two slices, so none is missed; the distance is checked on the bits.
