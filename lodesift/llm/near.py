@@ -1,11 +1,11 @@
 """Near-duplicate records with small edits.
 
-Order MinHash in its bottom form: a record's occurrence-labelled words are ordered by one hash order that all
-records of a block share, rare words first, and its sketch holds the smallest of them with their places in the
-text.  For a similarity of t or more the sketch is just as long that two records that reach t must share two
-words of their sketches, so every pair of sketch words is a bucket and no pair of records is missed.  The sketch's
-kept text order places the band of an alignment that gives the edit similarity of a candidate pair; whether a
-pair is near is decided by the exact share of common features.
+A prefix-filter set join in place of Order MinHash: a record's distinct features are ordered by one hash order that
+all records of a block share, rare ones first, and its sketch holds the hashes of the smallest of them, without
+occurrence labels or places in the text.  For a similarity of t or more the sketch is just as long that two records that reach t must share two
+words of their sketches, so every pair of sketch words is a bucket and no pair of records is missed.  Whether a
+pair is near is decided by the exact share of common features.  ``aligned`` gives the edit similarity of pairs by a
+banded alignment of their features; no query runs it.
 
 Records with the same features are one class; pairs are made between classes only, and the classes' members are
 expanded at the end.
