@@ -1,6 +1,7 @@
 """Mapping freely typed values to a reference list.
 
-All names and aliases of a field stand in one trie, each in every order of its words and without separators.
+All names and aliases of a field stand in one trie, each in every order of its words and without separators; the
+orders of long ones are too many to be stored and are made as the search walks them.
 A value is searched with a Levenshtein automaton (adjacent letters swapped count as one slip) that walks the
 trie and leaves a branch as soon as no continuation can stay within the distance allowed for the value's length.
 The rows are mapped where they are, without a shuffle; a worker remembers the values it has met.
@@ -29,8 +30,10 @@ SLIPS = ((15, 3), (5, 2), (3, 1), (0, 0))
 #: Labels before and remarks after a value, as plain words.
 LABELS = ("approx", "about", "ca", "circa", "made of", "made from", "color", "colour", "col", "material", "mat", "finish", "tone", "100", "100 percent", "pure")
 REMARKS = ("see photo", "see photos", "see picture", "as shown", "as pictured", "finish", "tone", "body", "colour", "color", "material", "shade", "look", "style")
-#: References of more words than this stand in the trie in the given order only.
+#: References of more words than this stand in the trie in the given order only, their other orders in ``Orders``.
 ORDERED_ABOVE = 5
+#: Letters down to which the nodes of ``Orders`` remember what follows.
+KEPT = 3
 REMEMBERED = 200_000
 
 
@@ -61,6 +64,34 @@ def readings(value: str) -> list[str]:
     return list(dict.fromkeys("".join(w) for w in out if w))
 
 
+class Orders:
+    """A trie node of every word order of references, made when it is walked.
+
+    states: (value_id, the words still to come, what is left of the present word).
+    """
+
+    def __init__(self, states: Iterable[tuple[int, tuple[str, ...], str]], depth: int = 0):
+        self.states, self.depth, self.kept = set(states), depth, None
+
+    def items(self) -> list[tuple[str, Orders | int]]:
+        if self.kept is not None:
+            return self.kept
+        ends, after = [], {}
+        for value_id, rest, left in self.states:
+            if left:
+                after.setdefault(left[0], []).append((value_id, rest, left[1:]))
+            elif not rest:
+                ends.append(value_id)
+            else:
+                for w in set(rest):
+                    k = rest.index(w)
+                    after.setdefault(w[0], []).append((value_id, rest[:k] + rest[k + 1 :], w[1:]))
+        out = [(c, Orders(s, self.depth + 1)) for c, s in after.items()] + ([("", min(ends))] if ends else [])
+        if self.depth <= KEPT:
+            self.kept = out
+        return out
+
+
 class Trie:
     """Reference spellings, searched within a distance."""
 
@@ -68,6 +99,7 @@ class Trie:
         self.root: dict = {}
         self.exact: dict[str, int] = {}
         self.longest = 0
+        long = []
         for value_id, spellings in sorted(entries):
             for spelling in spellings:
                 words = words_of(spelling or "")
@@ -75,6 +107,9 @@ class Trie:
                     orders = permutations(words) if len(words) <= ORDERED_ABOVE else [words]
                     for order in orders:
                         self.add("".join(order), value_id)
+                    if len(words) > ORDERED_ABOVE:
+                        long.append((value_id, tuple(sorted(words)), ""))
+        self.long = Orders(long)
 
     def add(self, path: str, value_id: int) -> None:
         self.longest = max(self.longest, len(path))
@@ -89,7 +124,7 @@ class Trie:
         n = len(word)
         if n > self.longest + most:
             return
-        stack = [(node, c, None, list(range(n + 1)), None, 1) for c, node in self.root.items() if c]
+        stack = [(node, c, None, list(range(n + 1)), None, 1) for c, node in [*self.root.items(), *self.long.items()] if c]
         while stack:
             node, c, last, above, before, depth = stack.pop()
             row = [depth]

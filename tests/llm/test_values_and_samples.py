@@ -95,3 +95,19 @@ def test_encoding_round_trip_and_special_strings(spark):
     for t in TEXTS:
         assert encode.encode(enc, t, long=50, part=20) == (enc.encode_ordinary(t) if t else [])
     assert encode.encode_texts(rows.limit(0)).count() == 0
+
+
+def test_long_references_in_any_word_order():
+    from itertools import permutations
+
+    long = "soft red wool and silk blend blend"
+    trie = Trie([(7, [long]), (8, ["soft red wool and linen blend"]), (9, ["red"])])
+    paths = {v: {"".join(p) for p in permutations(s.split())} for v, s in ((7, long), (8, "soft red wool and linen blend"), (9, "red"))}
+    for typed in (long, "blend silk and wool red soft blend", "silk blend soft blend and wool red", "blend sikl and wol red soft blend", "linen blend and red wool soft", "wihte wool and red silk soft blend blend", "blend blend blend"):
+        word = "".join(typed.split())
+        got = {(d, v) for d, _, v in trie.within(word, 2)}
+        expected = {(d, v) for v, p in paths.items() for x in p if abs(len(x) - len(word)) <= 2 and (d := osa(x, word)) <= 2}
+        assert got == expected
+    assert trie.nearest("blend, sikl and wol red soft blend") == 7 and trie.nearest("linen blend and red wool soft") == 8
+    many = " ".join(f"w{i}x" for i in range(14))
+    assert Trie([(1, [many])]).nearest(" ".join(reversed(many.split()))) == 1
