@@ -39,6 +39,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p6_splits": splits.export_splits,
     "p7_sample": stable_sample.export_sample,
     "p7_components": stable_sample.component_sample,
+    "p7_delivered": stable_sample.delivered_sample,
     "p8_ids": encode.document_ids,
     "p8_bytes": encode.token_counts,
     "p9_found": leakage.benchmark_leaks,
@@ -99,3 +100,5 @@ SELECT sample_id, weight FROM w WHERE {FRACTION.format("'sample:' || sample_id")
 w AS (SELECT component_id, max(coalesce(len(m), 0)) AS weight FROM c GROUP BY component_id), s AS (SELECT component_id FROM w WHERE {FRACTION.format("'component:' || component_id")} < weight * 0.05::DOUBLE)
 SELECT DISTINCT component_id, product_index FROM (SELECT component_id, unnest(m) AS product_index FROM c WHERE component_id IN (SELECT component_id FROM s))""",
 }
+#: Bringing the deliveries in one by one gives the sample of all of them.
+SQL["p7_delivered"] = SQL["p7_sample"]

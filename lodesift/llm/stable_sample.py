@@ -36,24 +36,55 @@ def select(weights: DataFrame, constant: float, salt: str = "sample") -> DataFra
 def grown_sample(rows: DataFrame, key: str, weight: str, state: str, constant: float, salt: str = "sample") -> DataFrame:
     """The sample after ``rows`` came in; the folder ``state`` holds the running maxima and is renewed.
 
-    The new maxima are written beside the old ones and take their place as a whole at the end.
+    The new maxima are written beside the old ones and take their place as a whole at the end; a call that was lost
+    in between is made good by the next one.
     """
     spark = rows.sparkSession
     path = spark._jvm.org.apache.hadoop.fs.Path
     files = path(state).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def take_place() -> None:
+        files.delete(path(state), True)
+        if not files.rename(path(f"{state}.next"), path(state)):
+            raise OSError(f"{state}.next cannot take the place of {state}")
+
+    # written whole, so it holds all of the state, which may be deleted in part
+    if files.exists(path(f"{state}.next/_SUCCESS")):
+        take_place()
     before = spark.read.parquet(state) if files.exists(path(state)) else None
     running_weights(rows, key, weight, before).write.mode("overwrite").parquet(f"{state}.next")
-    files.delete(path(state), True)
-    files.rename(path(f"{state}.next"), path(state))
+    take_place()
     return select(spark.read.parquet(state), constant, salt)
 
 
-def export_sample(spark, sf_dir: str, constant: float = 0.05) -> DataFrame:
-    """Samples of export_ids; the weight is the number of different pictures that a delivery names, at least 1."""
-    rows = table(spark, sf_dir, "export_ids").select("sample_id", "source_image_ids")
+def weighted_samples(spark, sf_dir: str) -> DataFrame:
+    """(sample_id, export_batch, w): the weight is the number of different pictures that a delivery names, at least 1."""
     pictures = F.size(F.array_distinct(F.filter("source_image_ids", lambda x: x.isNotNull())))
-    rows = rows.withColumn("w", F.greatest(F.lit(1), F.coalesce(pictures, F.lit(1))))
-    return select(running_weights(rows, "sample_id", "w"), constant).select(F.col("id").alias("sample_id"), F.col("weight").cast("bigint").alias("weight"))
+    return table(spark, sf_dir, "export_ids").select("sample_id", "export_batch", F.greatest(F.lit(1), F.coalesce(pictures, F.lit(1))).alias("w"))
+
+
+def named(chosen: DataFrame) -> DataFrame:
+    return chosen.select(F.col("id").alias("sample_id"), F.col("weight").cast("bigint").alias("weight"))
+
+
+def export_sample(spark, sf_dir: str, constant: float = 0.05) -> DataFrame:
+    """Samples of export_ids, from all deliveries of the table at once."""
+    return named(select(running_weights(weighted_samples(spark, sf_dir), "sample_id", "w"), constant))
+
+
+def delivered_sample(spark, sf_dir: str, constant: float = 0.05, state: str | None = None) -> DataFrame:
+    """Samples of export_ids, its deliveries brought in one after the other, rows without a batch first.
+
+    Each delivery is read by itself and meets only the stored maxima of those before it.  Without a folder ``state``
+    the maxima begin empty in a scratch folder.
+    """
+    rows = weighted_samples(spark, sf_dir)
+    state = state or f"{Scratch(spark, 'maxima').root}/state"
+    batches = sorted((r[0] for r in rows.select("export_batch").distinct().collect()), key=lambda b: (b is not None, b))
+    chosen = None
+    for batch in batches or [None]:
+        chosen = grown_sample(rows.where(F.col("export_batch").eqNullSafe(F.lit(batch))), "sample_id", "w", state, constant)
+    return named(chosen)
 
 
 def component_sample(spark, sf_dir: str, constant: float = 0.05) -> DataFrame:

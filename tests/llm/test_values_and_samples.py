@@ -111,3 +111,28 @@ def test_long_references_in_any_word_order():
     assert trie.nearest("blend, sikl and wol red soft blend") == 7 and trie.nearest("linen blend and red wool soft") == 8
     many = " ".join(f"w{i}x" for i in range(14))
     assert Trie([(1, [many])]).nearest(" ".join(reversed(many.split()))) == 1
+
+
+def test_grown_sample_after_a_lost_call(spark, tmp_path):
+    import shutil
+
+    first = spark.createDataFrame([(f"s{i}", 3.0) for i in range(300)], "id string, w double")
+    later = spark.createDataFrame([(f"s{i}", 0.5) for i in range(300, 400)], "id string, w double")
+    state = tmp_path / "state"
+    one = {r["id"] for r in stable_sample.grown_sample(first, "id", "w", str(state), 0.1).collect()}
+    shutil.move(state, tmp_path / "state.next")  # lost between delete and rename
+    two = {r["id"] for r in stable_sample.grown_sample(later, "id", "w", str(state), 0.1).collect()}
+    assert one and one <= two
+    shutil.copytree(state, tmp_path / "state.next")
+    for part in state.glob("*.parquet"):  # lost within the delete
+        part.unlink()
+    assert {r["id"] for r in stable_sample.grown_sample(later, "id", "w", str(state), 0.1).collect()} == two
+    (tmp_path / "state.next").mkdir()  # lost within the write
+    assert {r["id"] for r in stable_sample.grown_sample(later, "id", "w", str(state), 0.1).collect()} == two
+
+
+def test_deliveries_one_by_one_give_the_sample_of_all(spark):
+    from lodesift.llm import queries
+
+    got, whole = (sorted(map(tuple, queries.QUERIES[q](spark, "/root/testdata/sf0.001").collect())) for q in ("p7_delivered", "p7_sample"))
+    assert got == whole and whole
