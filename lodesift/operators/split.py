@@ -60,6 +60,18 @@ def first_by(rows: DataFrame, order: Sequence[str], n: int) -> DataFrame:
     return top.withColumn("number", F.row_number().over(Window.orderBy(*order)))
 
 
+def shared_out(counts: dict[str, int], n: int, rest: str = "") -> dict[str, int]:
+    """n members in the proportions of counts, by largest remainders; all of ``rest`` where there are no counts."""
+    counts = {k: c for k, c in counts.items() if c and c > 0}
+    total = sum(counts.values())
+    if not total:
+        return {rest: n}
+    out = {k: n * c // total for k, c in counts.items()}
+    for k in sorted(counts, key=lambda k: (-(n * counts[k] % total), k))[: n - sum(out.values())]:
+        out[k] += 1
+    return {k: c for k, c in out.items() if c}
+
+
 def pack(components: Sequence[tuple[str, dict[str, int]]], sizes: dict[str, int], seed: int = 42, attempts: int = 128) -> dict[str, str]:
     """Assigns whole components to targets of exact sizes, keeping the strata's shares; raises if it cannot.
 
@@ -97,11 +109,12 @@ def pack(components: Sequence[tuple[str, dict[str, int]]], sizes: dict[str, int]
 def packed(components: DataFrame, sizes: dict[str, int], seed: int = 42) -> DataFrame:
     """(component_id, target) of component_id and strata (map of counts): one solver task over the components.
 
-    The packing is sequential by its nature; its input is one row a component with a few counts.
+    Where there is a column n of members, the strata are brought to that sum.  The packing is sequential by its nature; its input is one row a component with a few counts.
     """
 
     def solve(rows: pd.DataFrame) -> pd.DataFrame:
-        found = pack([(r.component_id, dict(r.strata)) for r in rows.sort_values("component_id").itertuples()], sizes, seed)
+        strata = lambda r: shared_out(dict(r.strata or {}), int(r.n)) if "n" in rows.columns else dict(r.strata)
+        found = pack([(r.component_id, strata(r)) for r in rows.sort_values("component_id").itertuples()], sizes, seed)
         return pd.DataFrame(sorted(found.items()), columns=["component_id", "target"])
 
-    return components.select("component_id", "strata").groupBy(F.lit(1)).applyInPandas(solve, "component_id string, target string")
+    return components.select("component_id", "strata", *[c for c in components.columns if c == "n"]).groupBy().applyInPandas(solve, "component_id string, target string")

@@ -369,5 +369,9 @@ def exact_packing(spark, d):
     rows = table(spark, d, "component").where("component_id is not null and member_indices is not null")
     sizes = rows.groupBy("component_id").agg(F.size(F.array_distinct(F.flatten(F.collect_list("member_indices")))).alias("n")).where("n > 0")
     total = sizes.agg(F.sum("n")).first()[0] or 0
-    strata = sizes.select("component_id", F.create_map(F.lit("all"), F.col("n")).alias("strata"))
-    return split.packed(strata, {"train": total - total // 5, "test": total // 5})
+    # a row counts once; a component's strata are the sums over its rows, brought to its number of different members
+    once = rows.select("component_id", "strata", F.array_sort(F.array_distinct("member_indices")).alias("m")).select("component_id", F.array_sort(F.map_entries("strata")).alias("e"), "m").distinct()
+    each = once.select("component_id", F.explode("e").alias("e")).where("e.value > 0").groupBy("component_id", "e.key").agg(F.sum("e.value").alias("value"))
+    counts = each.groupBy("component_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "value")))).alias("strata"))
+    counts = sizes.join(counts, "component_id", "left").select("component_id", "n", "strata")
+    return split.packed(counts, {"train": total - total // 5, "test": total // 5})

@@ -241,3 +241,15 @@ def test_detailed_queries_match_their_sql(spark):
         expected = oracle.execute(catalog.SQL[name])
         assert got.columns == [c[0] for c in expected.description]
         assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, expected.fetchall())), name
+
+
+def test_packing_by_real_strata(spark, tmp_path):
+    from lodesift.plans import catalog
+
+    assert split.shared_out({"a": 2, "b": 1}, 3) == {"a": 2, "b": 1} and split.shared_out({"a": 2, "b": 2}, 3) == {"a": 2, "b": 1} and split.shared_out({}, 2) == {"": 2}
+    rows = [(f"c{i:03}", [i], {"x" if i < 50 else "y": 1}) for i in range(100)] + [("c000", [0], {"x": 1}), ("none", [200, 201], None), ("c000", [0, 300], {"x": 2})]
+    spark.createDataFrame(rows, "component_id string, member_indices array<bigint>, strata map<string,int>").write.parquet(str(tmp_path / "component.parquet"))
+    got = {r["component_id"]: r["target"] for r in catalog.exact_packing(spark, str(tmp_path)).collect()}
+    assert len(got) == 101
+    tests = [c for c, t in got.items() if t == "test" and c != "none"]
+    assert abs(sum(c < "c050" for c in tests) - sum(c >= "c050" for c in tests)) <= 2
