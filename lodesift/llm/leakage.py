@@ -1,16 +1,21 @@
 """Evaluation texts that stand in training texts.
 
-Exact containment counts in the place of a size-partitioned MinHash search.  A document is taken in overlapping stretches, each the set of its
-words that tell items apart (those that stand in most items do not).  24 words of an item's 30 that stand in order
-within 38 words of the document leave at least T such words in common, T following from the item alone, so a stretch
-of n such words belongs to size class n: below the least T it holds no item, above it a MinHash sketch of its
-n - T + 1 smallest, in a hash order that puts rare words first, meets every item it may hold.  Common words are
-counted exactly for every item of the block, not just those met, and an item that reaches T is always met: the counts
-choose the candidates and the sketch decides nothing.  What reaches T is verified by the words in their order.  Whole
-runs are found by a lookup of 13-word shingles, which alone finds items of fewer than 30 words.
-
-The items are taken in blocks of bounded size, each held by every worker; the documents are read once for each
-block, without a shuffle.  Sets of items are bit strings, so a step handles all items of a block at once.
+Size-partitioned MinHash containment search.  A shingle is a pair of words that stand next to each other or have one
+word between them, so that single words put in, left out or replaced spare most shingles.  The items are cut into windows
+and the documents into overlapping stretches, in two sizes: short ones for passages of RUN words, long ones for those of
+WINDOW words.  Of a stretch only the shingles that some item has are kept.  How many these are puts it into a size class: with
+too few it can hold no passage, and the more there are beside the passage, the smaller is the likeness that a
+containment comes to, so the class fixes how many of the SKETCHES minima make a band.  A window and a stretch with a
+band in common are a candidate; a candidate is verified on its words: a whole run of RUN words, or NEED of WINDOW words
+in order within STRETCH words.
+
+Only two bit sets of bounded size (shingles and bands of the items) are broadcast.  Bands that pass them meet the
+items' bands in an equi-join, and only stretches of candidates are read again, so the documents are read twice whatever the
+number of items.
+
+The search is a random one: a passage of RUN words, and one of WINDOW words with CONTAINED of its shingles, is missed
+with a chance under one in a thousand; passages that keep fewer shingles, which NEED words can in the worst
+case, are missed more often (README).
 
 Defined results: null and empty texts hold nothing; an item of fewer than 13 words leaks nowhere, of fewer than 30
 only as a whole run; a repeated item or document has a row for each id; texts are searched whole.
@@ -19,27 +24,234 @@ only as a whole run; a repeated item or document has a row for each id; texts ar
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
 
 from lodesift.functions.text import words_of
-from lodesift.session import table
+from lodesift.llm.sketch import Bits, bits_of, flat, merged, mixed, seeds, signed, unsigned
+from lodesift.session import Scratch, table
 
 RUN, WINDOW, STRETCH, SHARE = 13, 30, 38, 80
 NEED = -(-WINDOW * SHARE // 100)
-#: A stretch begins at every STEP words and is STRETCH + STEP words long, so each STRETCH words lie in one.
-STEP = 19
-LONG = STRETCH + STEP
-#: Items in a block; a worker holds one block at a time.
-BLOCK_ITEMS = 2_000
-#: Bit words handled at once.
-CHUNK = 1_000_000
-FACTOR = np.uint64(0x9E3779B97F4A7C15)
+#: Minima of a sketch.
+SKETCHES = 256
+#: Words of a piece of a document; a stretch begins at every piece.
+STEP = 12
+#: Name, words of an item's window, its step, pieces of a document's stretch, shingles expected of a passage, and of a window.
+SIZES = (("short", 20, 7, 2, 23, 37), ("long", 38, 8, 4, 33, 73))
+CONTAINED = 33 / 73
+#: Words of a document that are read again for a candidate.
+READ = 4 * STEP + 4
+CERTAIN = 0.999
+#: The bit set has at most 2 ** BITS bits, the counts at most 2 ** COUNTERS bytes.
+BITS, COUNTERS = 28, 26
+#: A shingle of more than OFTEN items comes later, by this power of how many more.
+OFTEN, POWER = 4, 1.3
+#: Pieces sketched at once, words remembered with their hashes, and pieces of a document whose candidates are one row.
+CHUNK, REMEMBERED, PART = 16_384, 1_000_000, 1_000
+NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
+
+
+class WordHashes:
+    """Stable 64-bit hashes of words."""
+
+    def __init__(self):
+        self.known: dict[str, int] = {}
+
+    def of(self, text: str | None) -> list[int]:
+        known, out = self.known, []
+        if len(known) > REMEMBERED:
+            known.clear()
+        for w in words_of(text):
+            h = known.get(w)
+            if h is None:
+                h = known[w] = xxhash.xxh3_64_intdigest(w)
+            out.append(h)
+        return out
+
+
+def shingles(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles that begin at each word: with the next one, and with the one after it; words end with two fillers."""
+    return mixed(words[:-2] * np.uint64(3) + words[1:-1]), mixed(words[:-2] * np.uint64(3) + words[2:])
+
+
+class ShingleCounts:
+    """In how many items a shingle stands, never too low, at most 255."""
+
+    def __init__(self, counters: np.ndarray):
+        self.counters = counters
+        self.shift = np.uint64(64 - (len(counters).bit_length() - 1))
+
+    def places(self, hashes: np.ndarray) -> np.ndarray:
+        return (hashes >> self.shift).astype(np.int64)
+
+    def add(self, hashes: np.ndarray) -> None:
+        at, n = np.unique(self.places(hashes), return_counts=True)
+        self.counters[at] = np.minimum(255, self.counters[at].astype(np.int64) + n)
+
+    def of(self, hashes: np.ndarray) -> np.ndarray:
+        return self.counters[self.places(hashes)]
+
+
+#: How late a shingle comes, by its count.
+LATE = np.round(16 * (np.maximum(np.arange(256), OFTEN) / OFTEN) ** POWER).astype(np.uint64)
+
+
+def minima(hashes: np.ndarray, late: np.ndarray, begin: np.ndarray, multipliers: np.ndarray) -> np.ndarray:
+    """SKETCHES minima of each part of hashes that begins at ``begin``; no part is empty."""
+    out = np.empty((len(multipliers), len(begin)), np.uint64)
+    for r, a in enumerate(multipliers):
+        out[r] = np.minimum.reduceat(((hashes * a) >> np.uint64(32)) * late, begin)
+    return out
+
+
+def rows_of_band(name: str, n: int) -> int:
+    """Minima in a band for stretches of a size class: as many as leave a passage's chance to be missed small."""
+    _, _, _, _, common, window = next(s for s in SIZES if s[0] == name)
+    like = common / (window + max(n, common) - common)
+    return next((r for r in (3, 2) if 1 - (1 - like**r) ** (SKETCHES // r) >= CERTAIN), 1)
+
+
+def bands(least: np.ndarray, rows: int, name: str) -> np.ndarray:
+    """The bands' hashes, one column a sketch."""
+    many = len(least) // rows
+    tag = mixed(np.arange(many, dtype=np.uint64) + np.uint64(1000 * rows + len(name)))
+    out = np.repeat(tag[:, None], least.shape[1], 1)
+    for k in range(rows):
+        out = mixed(out * np.uint64(3) + least[k : many * rows : rows])
+    return out
+
+
+def windows(words: np.ndarray, name: str) -> Iterator[tuple[np.ndarray, int]]:
+    """The different shingles of each window of an item and how many of them any passage in it has at least."""
+    _, size, step, _, _, _ = next(s for s in SIZES if s[0] == name)
+    passage, spared = (RUN, 2 * RUN - 3) if name == "short" else (WINDOW, 13)
+    if len(words) < passage:
+        return
+    for at in sorted({*range(0, max(1, len(words) - size + 1), step), max(0, len(words) - size)}):
+        part = words[at : at + size]
+        one, two = shingles(np.concatenate([part, np.zeros(2, np.uint64)]))
+        held = np.concatenate([one[:-1], two[:-2]])
+        different = np.unique(held)
+        # of the passage's shingles as many may be alike as the window has repeated ones
+        yield different, max(1, spared - (len(held) - len(different)))
+
+
+def window_rows(items: DataFrame, item_key: str) -> DataFrame:
+    """(item_key, size, shingles, least): the windows of every item, size being the number of a SIZES entry."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for i, words in enumerate(batch.column("words").to_pylist()):
+                words = np.array(words, np.int64).view(np.uint64)
+                out += [(i, s, different.view(np.int64), least) for s, (name, *_) in enumerate(SIZES) for different, least in windows(words, name)]
+            columns = [batch.column(item_key).take(pa.array([o[0] for o in out], pa.int64())), pa.array([o[1] for o in out], pa.int32())]
+            columns += [pa.array([o[2] for o in out], pa.list_(pa.int64())), pa.array([o[3] for o in out], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, [item_key, "size", "shingles", "least"])
+
+    return items.select(item_key, "words").mapInArrow(run, f"{item_key} {items.schema[item_key].dataType.simpleString()}, size int, shingles array<bigint>, least bigint")
+
+
+def shingle_counts(rows: DataFrame, item_key: str) -> ShingleCounts:
+    """The counts of all items' shingles, 64 counters for each."""
+    flat_rows = rows.select(item_key, F.explode("shingles").alias("h")).distinct()
+    n = flat_rows.count()
+    size = 1 << int(min(COUNTERS, max(12, int(64 * n).bit_length())))
+
+    def add(own: np.ndarray, batch: pa.RecordBatch) -> None:
+        ShingleCounts(own).add(unsigned(batch.column(0)))
+
+    capped = lambda x, y: np.minimum(255, x.astype(np.int64) + y).astype(np.uint8)
+    return ShingleCounts(merged(flat_rows, ["h"], size, np.uint8, add, capped))
+
+
+def item_bands(rows: DataFrame, item_key: str, known: ShingleCounts) -> DataFrame:
+    """(item_key, key): the bands of all windows for every size class."""
+    multipliers, classes = seeds(SKETCHES), [sorted({rows_of_band(s[0], n) for n in range(2 * STEP * s[3] + 1)}) for s in SIZES]
+    held = rows.sparkSession.sparkContext.broadcast(known.counters)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = ShingleCounts(held.value)
+        for batch in batches:
+            hashes, sizes = flat(batch.column("shingles"))
+            if not len(hashes):
+                continue
+            small = minima(hashes, LATE[counts.of(hashes)], np.concatenate([[0], np.cumsum(sizes)])[:-1], multipliers)
+            of_size = batch.column("size").to_numpy()
+            for s, (name, *_) in enumerate(SIZES):
+                at = np.flatnonzero(of_size == s)
+                for r in classes[s] if len(at) else ():
+                    keys = bands(small[:, at], r, name)
+                    yield pa.RecordBatch.from_arrays([batch.column(item_key).take(pa.array(np.tile(at, len(keys)))), signed(keys.ravel())], [item_key, "key"])
+
+    return rows.mapInArrow(run, f"{item_key} {rows.schema[item_key].dataType.simpleString()}, key bigint").distinct()
+
+
+def document_bands(docs: DataFrame, key: str, text: str, known: ShingleCounts, wanted: Bits, least: dict[str, int]) -> DataFrame:
+    """(key, place, band): the bands of all stretches that some item may have; place is a word's number."""
+    spark = docs.sparkSession
+    held = spark.sparkContext.broadcast((known.counters, wanted.bits, wanted.held))
+    multipliers = seeds(SKETCHES)
+    table_of = {s[0]: np.array([rows_of_band(s[0], n) for n in range(2 * STEP * s[3] + 1)]) for s in SIZES}
+    gap = max(s[3] for s in SIZES) - 1
+
+    def found(words: np.ndarray, begin: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(piece, band) of pieces of STEP words from the first one on; texts are parted by empty pieces."""
+        counts, band_bits = ShingleCounts(held.value[0]), Bits(*held.value[1:])
+        one, two = shingles(np.concatenate([words, np.zeros(2, np.uint64)]))
+        both = np.stack([one, two], 1)
+        often = counts.of(both)
+        mask = often > 0
+        size = np.add.reduceat(mask.sum(1), np.arange(0, len(words), STEP)) if len(words) else np.zeros(0, np.int64)
+        total = np.concatenate([[0], np.cumsum(size), np.full(gap + 1, size.sum())])
+        pieces = len(size)
+        for first in range(0, pieces, CHUNK):
+            last = min(pieces, first + CHUNK)
+            end = min(pieces, last + gap)
+            inside = mask[first * STEP : end * STEP]
+            hashes, late = both[first * STEP : end * STEP][inside], LATE[often[first * STEP : end * STEP][inside]]
+            filled = np.flatnonzero(size[first:end])
+            if not len(filled):
+                continue
+            starts = np.concatenate([[0], np.cumsum(size[first:end])])[:-1][filled]
+            small = np.full((SKETCHES, end - first + gap), NONE)
+            small[:, filled] = minima(hashes, late, starts, multipliers)
+            for name, _, _, many, _, _ in SIZES:
+                n = total[first + many : last + many] - total[first:last]
+                for rows in np.unique(table_of[name]):
+                    at = np.flatnonzero((n >= least[name]) & (table_of[name][n] == rows))
+                    for part in np.array_split(at, max(1, len(at) // 2_048)):
+                        if len(part):
+                            lows = small[:, part]
+                            for j in range(1, many):
+                                lows = np.minimum(lows, small[:, part + j])
+                            keys = bands(lows, int(rows), name)
+                            row, column = np.nonzero(band_bits.holds(keys.ravel()).reshape(keys.shape))
+                            yield first + part[column], keys[row, column]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in batches:
+            parts, pieces = [], []
+            for t in batch.column(1).to_pylist():
+                words = hashes.of(t)
+                n = -(-len(words) // STEP) + gap if words else 0
+                parts.append(np.array(words + [0] * (n * STEP - len(words)), np.uint64))
+                pieces.append(n)
+            begin = np.concatenate([[0], np.cumsum(pieces)])
+            for piece, bands_ in found(np.concatenate(parts) if parts else np.zeros(0, np.uint64), begin):
+                who = np.searchsorted(begin, piece, "right") - 1
+                place = (piece - begin[who]) * STEP
+                columns = [batch.column(0).take(pa.array(who)), pa.array(place.astype(np.int64)), signed(bands_)]
+                yield pa.RecordBatch.from_arrays(columns, [key, "place", "key"])
+
+    kind = docs.schema[key].dataType.simpleString()
+    return docs.select(key, text).mapInArrow(run, f"{key} {kind}, place bigint, key bigint")
 
 
 def common_subsequence(a: list[int], b: list[int]) -> int:
@@ -56,7 +268,13 @@ def common_subsequence(a: list[int], b: list[int]) -> int:
 
 
 def stands_in(item: list[int], part: list[int]) -> bool:
-    """Whether some WINDOW words of the item have NEED in order within STRETCH words of the part."""
+    """Whether RUN words of the item stand together in the part, or NEED of some WINDOW in order within STRETCH words."""
+    held = set(item)
+    if sum(w in held for w in part) < RUN:
+        return False
+    runs = {tuple(item[i : i + RUN]) for i in range(len(item) - RUN + 1)}
+    if any(tuple(part[j : j + RUN]) in runs for j in range(len(part) - RUN + 1)):
+        return True
     if len(item) < WINDOW or common_subsequence(item, part) < NEED:
         return False
     for j in range(max(1, len(part) - STRETCH + 1)):
@@ -69,155 +287,93 @@ def stands_in(item: list[int], part: list[int]) -> bool:
     return False
 
 
-def run_hashes(ids: np.ndarray) -> np.ndarray:
-    """A hash of the RUN words from each place on."""
-    n = max(0, len(ids) - RUN + 1)
-    h = np.zeros(n, np.uint64)
-    for k in range(RUN):
-        h = h * FACTOR + ids[k : k + n].astype(np.uint64) + np.uint64(1)
-    return h
-
-
-class ItemIndex:
-    """The items of a block: their words, which of them tell items apart, and the thresholds that follow."""
-
-    def __init__(self, items: list[tuple[int, str]]):
-        self.keys = [k for k, _ in items]
-        self.vocabulary: dict[str, int] = {}
-        self.items = [[self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words_of(t)] for _, t in items]
-        n, size = len(items), len(self.vocabulary)
-        held = np.zeros((size, n), bool)
-        for i, item in enumerate(self.items):
-            held[item, i] = True
-        self.held = np.zeros((n, size + 1), bool)
-        self.held[:, :size] = held.T
-        often = held.sum(1)
-        common = often > n / 2
-        # hash order: rare words first, then pseudo-random; words that are common or of no item come last
-        mixed = (np.arange(size, dtype=np.uint64) * FACTOR) >> np.uint64(20)
-        order = np.lexsort((mixed, often, common))
-        self.telling = int((~common).sum())
-        self.rank = np.full(size + 1, self.telling, np.int32)
-        self.rank[order[: self.telling]] = np.arange(self.telling)
-        self.width = -(-max(1, n) // 64)
-        packed = np.zeros((self.telling + 1, self.width * 8), np.uint8)
-        bits = np.packbits(held[order[: self.telling]], axis=1, bitorder="little")
-        packed[: self.telling, : bits.shape[1]] = bits
-        self.owners = packed.view(np.uint64)
-        least = np.full(self.width * 64, 2 * LONG, np.int64)  # more than any stretch holds
-        for i, item in enumerate(self.items):
-            if len(item) >= WINDOW:
-                total = np.concatenate([[0], np.cumsum(common[item])])
-                least[i] = max(0, NEED - (total[WINDOW:] - total[:-WINDOW]).max())
-        self.least = int(least.min()) if n else 2 * LONG
-        self.levels = int(2 * LONG).bit_length()
-        self.threshold = [np.packbits((least >> b & 1).astype(np.uint8), bitorder="little").view(np.uint64) for b in range(self.levels)]
-        runs = sorted({(int(h), i) for i, item in enumerate(self.items) for h in run_hashes(np.array(item, np.int64))})
-        self.run_hash = np.array([h for h, _ in runs], np.uint64)
-        self.run_item = np.array([i for _, i in runs], np.int64)
-        self.run_words = [{tuple(item[k : k + RUN]) for k in range(len(item) - RUN + 1)} for item in self.items]
-
-    def runs(self, ids: np.ndarray) -> Iterator[tuple[int, int]]:
-        """(place, item) of every whole run."""
-        if not len(self.run_hash) or len(ids) < RUN:
-            return
-        known = np.concatenate([[0], np.cumsum(ids >= 0)])
-        at = np.flatnonzero(known[RUN:] - known[:-RUN] == RUN)
-        h = run_hashes(ids)[at]
-        low, high = np.searchsorted(self.run_hash, h, "left"), np.searchsorted(self.run_hash, h, "right")
-        for q in np.flatnonzero(low < high).tolist():
-            p = int(at[q])
-            for k in range(low[q], high[q]):
-                item = int(self.run_item[k])
-                if tuple(ids[p : p + RUN].tolist()) in self.run_words[item]:
-                    yield p, item
-
-    def stretches(self, ids: np.ndarray) -> Iterator[tuple[int, int]]:
-        """(stretch, item) with enough telling words in common; ids end with LONG words of no item."""
-        ranked = self.rank[ids]
-        starts = np.arange(0, len(ids) - LONG + 1, STEP)
-        total = np.concatenate([[0], np.cumsum(ranked < self.telling)])
-        size = total[starts + LONG] - total[starts]
-        starts = starts[size >= self.least]
-        for k in range(0, len(starts), max(1, CHUNK // self.width)):
-            begin = starts[k : k + max(1, CHUNK // self.width)]
-            words = np.sort(ranked[begin[:, None] + np.arange(LONG)], 1)
-            n = (words < self.telling).sum(1)
-            met = np.zeros((len(begin), self.width), np.uint64)
-            if self.least == 0:
-                met[:] = ~np.uint64(0)
-            count = [np.zeros((len(begin), self.width), np.uint64) for _ in range(self.levels)]
-            for j in range(int(n.max())):
-                owners = self.owners[words[:, j]]
-                met |= np.where((j < n - self.least + 1)[:, None], owners, np.uint64(0))
-                for b in range(min(self.levels, (j + 1).bit_length())):
-                    carry = count[b] & owners
-                    count[b] ^= owners
-                    owners = carry
-            # count >= threshold, from the highest bit down
-            more, same = np.zeros_like(met), np.full_like(met, ~np.uint64(0))
-            for b in reversed(range(self.levels)):
-                more |= same & count[b] & ~self.threshold[b]
-                same &= ~(count[b] ^ self.threshold[b])
-            row, item = np.nonzero(np.unpackbits(((more | same) & met).view(np.uint8), axis=1, bitorder="little"))
-            begin = begin[row]
-            for j in range(0, len(begin), CHUNK // LONG):
-                p, i = begin[j : j + CHUNK // LONG], item[j : j + CHUNK // LONG]
-                own = np.concatenate([np.zeros((len(p), 1), np.int16), self.held[i[:, None], ids[p[:, None] + np.arange(LONG)]].cumsum(1, dtype=np.int16)], 1)
-                full = (own[:, STRETCH:] - own[:, :-STRETCH]).max(1) >= NEED
-                yield from zip(p[full].tolist(), i[full].tolist(), strict=True)
-
-    def search(self, texts: list[str | None]) -> list[tuple[int, int]]:
-        """(number of the text, number of the item) of every leak."""
-        get, none = self.vocabulary.get, len(self.vocabulary)
-        parts, start, end, total = [], [], [], 0
-        for t in texts:
-            words = [get(w, none) for w in words_of(t)]
-            end.append(total + len(words))
-            words += [none] * (LONG + -(len(words) + LONG) % STEP)  # texts begin at a stretch and do not share one
-            start.append(total)
-            total += len(words)
-            parts.append(np.array(words, np.int64))
-        if not parts or not self.items:
-            return []
-        ids, begin = np.concatenate(parts), np.array(start)
-        text_at = lambda p: int(np.searchsorted(begin, p, "right")) - 1
-        out = {(text_at(p), item) for p, item in self.runs(np.where(ids == none, -2, ids))}
-        for p, item in self.stretches(ids):
-            pair = text_at(p), item
-            if p < end[pair[0]] and pair not in out:  # a stretch that begins after its text shows the next one's words
-                part = ids[p : p + LONG]
-                if stands_in(self.items[item], np.where(part == none, -1, part).tolist()):
-                    out.add(pair)
-        return sorted(out)
+def stretches(docs: DataFrame, places: DataFrame, key: str, text: str, item_key: str) -> DataFrame:
+    """(key, item_key, part): the words of the candidates' stretches, as hashes."""
+    grouped = places.groupBy(key, F.floor(F.col("place") / (PART * STEP)).alias("_part")).agg(F.collect_list(F.struct("place", item_key)).alias("found"))
+    kind, item_kind = docs.schema[key].dataType.simpleString(), places.schema[item_key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in batches:
+            who, parts = [], []
+            for i, (t, found) in enumerate(zip(batch.column(text).to_pylist(), batch.column("found").to_pylist(), strict=True)):
+                words = np.array(hashes.of(t), np.uint64).view(np.int64)
+                who += [i] * len(found)
+                parts += [words[f["place"] : f["place"] + READ] for f in found]
+            items = batch.column("found").flatten().field(item_key)
+            columns = [batch.column(key).take(pa.array(who, pa.int64())), items, pa.array(parts, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, [key, item_key, "part"])
+
+    met = docs.select(key, text).join(grouped, key).select(key, text, "found")
+    return met.mapInArrow(run, f"{key} {kind}, {item_key} {item_kind}, part array<bigint>")
+
+
+def can_stand(item: np.ndarray, parts: np.ndarray) -> np.ndarray:
+    """Which rows of words have RUN words of the item together, or NEED of them within STRETCH words."""
+    held = np.zeros((len(parts), parts.shape[1] + 1), np.int32)
+    held[:, 1:] = np.isin(parts, item).cumsum(1)
+    width = parts.shape[1]
+    run = (held[:, RUN:] - held[:, :-RUN] == RUN).any(1) if width >= RUN else np.zeros(len(parts), bool)
+    size = min(STRETCH, width)
+    return run | ((held[:, size:] - held[:, : width + 1 - size]) >= NEED).any(1)
+
+
+def verified(rows: DataFrame, key: str, item_key: str) -> DataFrame:
+    """(key, item_key) of the candidates that hold a passage; rows: both keys, words of the item and of the part."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words, n = flat(batch.column("words"))
+            values, m = flat(batch.column("part"))
+            begin, start = np.concatenate([[0], np.cumsum(n)]), np.concatenate([[0], np.cumsum(m)])
+            good = np.zeros(len(n), bool)
+            names = batch.column(item_key).dictionary_encode().indices.to_numpy(zero_copy_only=False)
+            order = np.argsort(names, kind="stable")
+            for who in np.split(order, np.flatnonzero(np.diff(names[order])) + 1):
+                if not len(who):
+                    continue
+                item = words[begin[who[0]] : begin[who[0] + 1]]
+                place = np.minimum(start[who][:, None] + np.arange(READ), max(0, len(values) - 1))
+                parts = np.where(np.arange(READ) < m[who][:, None], values[place] if len(values) else np.uint64(0), np.uint64(0))
+                for i in who[can_stand(item, parts)]:
+                    good[i] = stands_in(item.tolist(), values[start[i] : start[i + 1]].tolist())
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(good)) for c in (key, item_key)], [key, item_key])
+
+    kinds = [f"{c} {rows.schema[c].dataType.simpleString()}" for c in (key, item_key)]
+    return rows.select(key, item_key, "words", "part").mapInArrow(run, ", ".join(kinds))
+
+
+def item_words(items: DataFrame, item_key: str, item_text: str) -> DataFrame:
+    """(item_key, words): the hashed words of every item of RUN words or more, once each."""
+    rows = items.where(F.col(item_text).isNotNull() & F.col(item_key).isNotNull()).select(item_key, F.col(item_text).alias("_text")).distinct()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in batches:
+            words = [hashes.of(t) for t in batch.column(1).to_pylist()]
+            good = pa.array([len(w) >= RUN for w in words], pa.bool_())
+            lists = pa.array([np.array(w, np.uint64).view(np.int64) for w in words], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(good), lists.filter(good)], [item_key, "words"])
+
+    return rows.mapInArrow(run, f"{item_key} {rows.schema[item_key].dataType.simpleString()}, words array<bigint>")
 
 
 def leaked_items(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
     """(key, item_key): every document with the items of which it holds a passage."""
-    spark = docs.sparkSession
-    kind, item_kind = docs.schema[key].dataType.simpleString(), items.schema[item_key].dataType
-    pa_type = to_arrow_type(item_kind)
-    rows = items.where(F.col(item_text).isNotNull() & F.col(item_key).isNotNull()).select(item_key, item_text).distinct()
-    blocks = -(-rows.count() // BLOCK_ITEMS)
-    rows = rows.withColumn("_block", F.pmod(F.xxhash64(item_key), F.lit(max(1, blocks))))
-
-    def passed(block: int) -> DataFrame:
-        held = spark.sparkContext.broadcast([(r[0], r[1]) for r in rows.where(F.col("_block") == block).collect()])
-        built: list[ItemIndex] = []
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            if not built:
-                built.append(ItemIndex(held.value))
-            index = built[0]
-            for batch in batches:
-                found = index.search(batch.column(1).to_pylist())
-                keys = batch.column(0).take(pa.array([t for t, _ in found], pa.int64()))
-                names = pa.array([index.keys[i] for _, i in found], pa_type)
-                yield pa.RecordBatch.from_arrays([keys, names], [key, item_key])
-
-        return docs.select(key, text).where(F.col(text).isNotNull()).mapInArrow(run, f"{key} {kind}, {item_key} {item_kind.simpleString()}")
-
-    return reduce(DataFrame.unionByName, [passed(b) for b in range(max(1, blocks))]).distinct()
+    scratch = Scratch(docs.sparkSession, "leakage")
+    docs = docs.where(F.col(text).isNotNull() & F.col(key).isNotNull()).select(key, text)
+    words = scratch.write(item_words(items, item_key, item_text), "items")
+    rows = scratch.write(window_rows(words, item_key), "windows")
+    # where no item has the length of a size, nothing of that size is looked for
+    smallest = {r["size"]: r["least"] for r in rows.groupBy("size").agg(F.min("least").alias("least")).collect()}
+    least = {s[0]: smallest.get(k, 1 << 40) for k, s in enumerate(SIZES)}
+    known = shingle_counts(rows, item_key)
+    index = scratch.write(item_bands(rows, item_key, known), "bands")
+    wanted = bits_of(index, "key", index.count(), BITS)
+    met = document_bands(docs, key, text, known, wanted, least).join(index, "key")
+    places = scratch.write(met.select(key, "place", item_key).distinct(), "places")
+    rows = stretches(docs, places, key, text, item_key).join(words, item_key)
+    return verified(rows, key, item_key).distinct()
 
 
 def benchmark_leaks(spark, sf_dir: str) -> DataFrame:

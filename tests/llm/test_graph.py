@@ -86,35 +86,73 @@ def jaccard(a, b):
     return len(a & b) / len(a | b)
 
 
-def test_near_pairs_match_brute_force(spark):
-    rng = random.Random(5)
-    words = [f"w{i}" for i in range(25)]
-    base = [rng.sample(words, rng.randrange(1, 12)) for _ in range(40)]
+def near_rows(rng):
+    words = [f"w{i}" for i in range(400)] + [f"s{i}" for i in range(4)] * 40
+    base = [list(dict.fromkeys(rng.choices(words, k=rng.randrange(1, 22)))) for _ in range(60)]
     rows = [(f"r{i:03}", rng.choice(["x", "y", None]), b) for i, b in enumerate(base)]
-    for i in range(60):
+    for i in range(200):
         features = list(rng.choice(base))
-        rng.shuffle(features)
-        features = list(dict.fromkeys([*features[: rng.randrange(1, len(features) + 1)], *rng.sample(words, rng.randrange(0, 3))]))
-        rows.append((f"t{i:03}", rng.choice(["x", "y"]), features))
-    rows += [rows[0], (None, "x", ["w1"]), ("empty", "x", []), ("none", "x", None)]
-    records = spark.createDataFrame(rows, "id string, block string, features array<string>")
+        for _ in range(rng.randrange(0, 4)):  # words moved, left out, put in and repeated
+            k = rng.randrange(len(features))
+            features.insert(rng.randrange(len(features)), features.pop(k))
+        features = features[: max(1, len(features) - rng.randrange(0, 3))] + rng.sample(words, rng.randrange(0, 3))
+        rows.append((f"t{i:03}", rng.choice(["x", "y"]), features + features[:1]))
+    rows += [rows[0], (None, "x", ["w1"]), ("empty", "x", []), ("none", "x", None), ("long", "y", [f"w{i}" for i in range(3000)]), ("lonh", "y", [f"w{i}" for i in range(2900)])]
+    return rows
+
+
+def test_near_pairs_match_brute_force(spark):
+    rows = near_rows(random.Random(5))
+    records = spark.createDataFrame(rows, "id string, block string, words array<string>").withColumn("features", F.lit("clash"))
     pairs, members = near.near_records(records, 0.6)
     got = {tuple(r) for r in near.expanded(pairs, members).collect()}
     held = {i: (b, f) for i, b, f in rows if i and b and f}
     expected = {(a, b) for a in held for b in held if a < b and held[a][0] == held[b][0] and jaccard(held[a][1], held[b][1]) >= 0.6 - 1e-12}
-    assert got == expected and expected
+    assert got <= expected and len(got) >= 0.99 * len(expected) and ("long", "lonh") in got
     grouped = {r["id"]: r["group_id"] for r in near.groups(pairs, members).collect()}
-    assert grouped == brute_groups(expected)
-    edits = near.aligned(pairs).collect()
-    assert len(edits) == pairs.count() and all(0 <= r["edit_similarity"] <= 1 for r in edits)
+    assert grouped == brute_groups(got)
+    assert all(0 <= r["edit_similarity"] <= 1 and r["similarity"] >= 0.6 - 1e-12 for r in pairs.collect())
+
+
+def test_one_sketch_finds_fewer_pairs(spark):
+    rows = near_rows(random.Random(6))
+    from lodesift.session import Scratch
+
+    scratch = Scratch(spark, "test")
+    sets, _ = near.classes(spark.createDataFrame(rows, "id string, block string, words array<string>"), scratch)
+    few, many = (near.near_classes(sets, 0.6, scratch, sketches=n).count() for n in (1, near.SKETCHES))
+    assert few < many
+    assert near.near_classes(sets, 0.6, scratch, k=2).count() <= many
 
 
 def test_near_of_an_empty_table(spark):
-    pairs, members = near.near_records(spark.createDataFrame([], "id string, block string, features array<string>"))
+    pairs, members = near.near_records(spark.createDataFrame([], "id string, block string, words array<string>"))
     assert near.expanded(pairs, members).count() == 0
 
 
-def test_edit_similarity_follows_moves():
-    assert near.edit_similarity(list("abcdef"), list("abcdef")) == 1
-    assert near.edit_similarity(list("abcdef"), list("xabcdef")) > 0.8
-    assert near.edit_similarity([], ["a"]) == 0
+def test_alignment_matches_the_plain_one():
+    import numpy as np
+
+    rng = random.Random(7)
+    for _ in range(50):
+        a, b = ([rng.randrange(8) for _ in range(rng.randrange(1, 15))] for _ in range(2))
+        row = [0] * (len(b) + 1)
+        for x in a:
+            last = 0
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
+        wide = near.aligned_words(np.array([a], np.uint64) + 10, np.array([b], np.uint64) + 10, 20)[0]
+        assert wide == row[-1]
+        assert near.aligned_words(np.array([a], np.uint64) + 10, np.array([b], np.uint64) + 10, 2)[0] <= wide
+
+
+def test_occurrence_labels_and_order():
+    import numpy as np
+
+    words, sizes = np.array([5, 6, 5, 5, 7], np.uint64), np.array([3, 2])
+    mers, kept, number = near.labelled(words, sizes)
+    assert number.tolist() == [0, 0, 1, 0, 0] and kept.tolist() == [3, 2] and mers[0] == 5 and mers[2] != 5 and mers[3] == 5
+    assert near.labelled(words, sizes, 2)[1].tolist() == [2, 1]
+    ones = np.ones(3, np.float32)
+    sample = lambda x: near.ordered_samples(np.array(x, np.uint64), np.array([3]), ones, ones > 0, np.array([1], np.uint64), 8, 2)[1].tolist()
+    assert sample([1, 2, 3]) == sample([1, 2, 3]) and sample([1, 2, 3]) != sample([3, 2, 1])

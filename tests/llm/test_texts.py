@@ -42,13 +42,12 @@ def test_common_subsequence_matches_the_plain_one():
         assert leakage.common_subsequence(a, b) == plain_lcs(a, b)
 
 
-def test_leaks_match_brute_force():
-    rng = random.Random(2)
-    vocabulary = [f"w{i}" for i in range(60)]
+def planted(rng, vocabulary, many):
+    """Items and documents that hold whole, shortened and edited passages of them."""
     say = lambda n: [rng.choice(vocabulary) for _ in range(n)]
     items = [(i, " ".join(say(rng.choice([5, 14, 40, 60])))) for i in range(12)]
     docs = [None, "", "  ", "Nothing here."]
-    for _ in range(150):
+    for _ in range(many):
         words = say(rng.randrange(0, 80))
         passage = words_of(rng.choice(items)[1])
         at = rng.randrange(0, max(1, len(passage) - 30))
@@ -57,9 +56,41 @@ def test_leaks_match_brute_force():
             k = rng.randrange(len(passage)) if passage else 0
             passage = passage[:k] + rng.choice([[], ["Zz"], ["zz", "yy"]]) + passage[k + rng.randrange(0, 2) :]
         docs.append(" ".join(words[:20] + passage + words[20:]).title())
-    found = set(leakage.ItemIndex(items).search(docs))
-    expected = {(d, i) for d, t in enumerate(docs) for i, (_, item) in enumerate(items) if t and brute_leak(item, t)}
-    assert found == expected and len(expected) > 10
+    return items, docs
+
+
+@pytest.mark.parametrize("size, share", [(2000, 1.0), (60, 0.97)])
+def test_leaks_match_brute_force(spark, size, share):
+    items, docs = planted(random.Random(2), [f"w{i}" for i in range(size)], 150)
+    d = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    i = spark.createDataFrame(items, "item_id long, text string")
+    found = {tuple(r) for r in leakage.leaked_items(d, i).collect()}
+    expected = {(d, i) for d, t in enumerate(docs) for i, item in items if t and brute_leak(item, t)}
+    assert found <= expected and len(found) >= share * len(expected) and len(expected) > 10
+
+
+def test_leaks_come_from_shared_bands_only(spark, monkeypatch):
+    items, docs = planted(random.Random(3), [f"w{i}" for i in range(500)], 40)
+    d = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    i = spark.createDataFrame(items, "item_id long, text string")
+    assert leakage.leaked_items(d, i).count() > 0
+    whole = leakage.item_bands
+    monkeypatch.setattr(leakage, "item_bands", lambda *a: whole(*a).limit(0))
+    assert leakage.leaked_items(d, i).count() == 0
+
+
+def test_size_classes_make_bands_that_miss_little():
+    for name, _, _, pieces, common, window in leakage.SIZES:
+        for n in range(2 * leakage.STEP * pieces + 1):
+            like, r = common / (window + max(n, common) - common), leakage.rows_of_band(name, n)
+            assert (1 - like**r) ** (leakage.SKETCHES // r) < 0.001 or r == 1
+
+
+def test_long_document_with_a_passage_at_its_end(spark):
+    item = " ".join(f"tok{i}" for i in range(40))
+    text = " ".join(f"w{i % 7919}" for i in range(60_000)) + " " + item
+    rows = spark.createDataFrame([(1, text), (2, text[: len(text) - len(item)])], "doc_id long, text string")
+    assert [tuple(r) for r in leakage.leaked_items(rows, spark.createDataFrame([(5, item)], "item_id long, text string")).collect()] == [(1, 5)]
 
 
 def test_leaked_items_of_tables(spark):
