@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import json
 import re
+import unicodedata
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 #: Outer white space in the sense of Unicode.
 OUTER_SPACE = r"(?U)^\s+|\s+$"
@@ -75,10 +79,17 @@ def value_distance(a: str | Column, b: str | Column, families: dict[str, tuple[s
     return F.when(x == y, d * 0.2).when(x.isNotNull() & y.isNotNull(), d + 2.0).otherwise(d)
 
 
+#: What may stand between the words of a phrase.
+BETWEEN = r"(?:[\s_./\\,&:;()+\[\]–—-]+|\s+and\s+)"
+
+
+def phrase_words(phrase: str | Column) -> Column:
+    return F.regexp_extract_all(F.lower(col(phrase).cast("string")), F.lit("([a-z0-9]+)"))
+
+
 def phrase_pattern(phrase: str | Column) -> Column:
     """Pattern of the phrase's words, joined by separators or "and", with word bounds, in any letter case."""
-    words = F.regexp_extract_all(F.lower(col(phrase)), F.lit("([a-z0-9]+)"))
-    return F.concat(F.lit(r"(?i)(?<![A-Za-z0-9])"), F.array_join(words, r"(?:[\s_/&,-]+|\s+and\s+)+"), F.lit(r"(?![A-Za-z0-9])"))
+    return F.concat(F.lit(r"(?i)(?<![A-Za-z0-9])"), F.array_join(phrase_words(phrase), BETWEEN), F.lit(r"(?![A-Za-z0-9])"))
 
 
 def literal_replacement(x: str | Column) -> Column:
@@ -87,8 +98,8 @@ def literal_replacement(x: str | Column) -> Column:
 
 
 def replace_phrase(text: str | Column, old: str | Column, new: str | Column) -> Column:
-    """Every mention of the phrase replaced; unchanged where the phrase has no words."""
-    has = F.size(token_set(old)) > 0
+    """Every mention of the phrase replaced; unchanged where the phrase has no words or the new one is the same."""
+    has = (F.size(phrase_words(old)) > 0) & (normalized(old) != normalized(new))
     return F.when(has, F.regexp_replace(col(text), phrase_pattern(old), literal_replacement(new))).otherwise(col(text))
 
 
@@ -131,18 +142,74 @@ def safe_file_name(x: str | Column) -> Column:
     return F.when(safe == col(x), safe).otherwise(F.concat(safe, F.lit("__"), F.substring(F.sha2(col(x), 256), 1, 8)))
 
 
-def flat_references(x: str | Column) -> Column:
-    """Trimmed, non-empty parts of a text delimited by semicolons or pipes."""
+#: Members of a JSON object that hold its reference, in this order.
+REFERENCE_KEYS = ("path", "file", "filename", "image_path", "image_id", "id", "value")
+
+
+def references_in(value: object) -> list[str]:
+    """The references that a text, number, list or object holds, at any depth, JSON inside texts included."""
+    out: list[str] = []
+    waiting = [value]
+    while waiting:
+        x = waiting.pop()
+        if isinstance(x, str):
+            x = x.strip()
+            if x[:1] in ("[", "{"):
+                try:
+                    waiting.append(json.loads(x))
+                    continue
+                except ValueError:
+                    pass
+            out += [part for part in map(str.strip, re.split("[;|]", x)) if part]
+        elif isinstance(x, dict):
+            named = next((k for k in REFERENCE_KEYS if k in x), None)
+            waiting += [x[named]] if named else reversed(x.values())
+        elif isinstance(x, (list, tuple)):
+            waiting += reversed(x)
+        elif isinstance(x, (int, float)):
+            out.append(str(x))
+    return out
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def deep_references(x: pd.Series) -> pd.Series:
+    return x.map(references_in)
+
+
+def flat_references(x: str | Column, deep: bool = False) -> Column:
+    """Trimmed, non-empty parts of a text delimited by semicolons or pipes; deep also reads JSON lists and objects."""
+    if deep:
+        return deep_references(col(x))
     return F.filter(F.transform(F.split(F.coalesce(col(x), F.lit("")), "[;|]"), trimmed), lambda p: p != "")
 
 
+MEASURE = re.compile(r"([0-9]+(?:\.[0-9]+)?)\s*(mm|cm|m)")
+
+
+def normal_text(t: str | None) -> str | None:
+    """Compatibility form of Unicode, lower case, without separators; a length in centimetres."""
+    if t is None:
+        return None
+    t = (t if t.isascii() else unicodedata.normalize("NFKC", t)).strip().lower()
+    length = MEASURE.fullmatch(t)
+    if not length:
+        return re.sub(r"[\s_\-]+", "", t)
+    n, unit = float(length[1]), length[2]
+    return f"{n / 10 if unit == 'mm' else n * 100 if unit == 'm' else n:g}cm"
+
+
+@F.pandas_udf(StringType())
+def normal_texts(x: pd.Series) -> pd.Series:
+    return x.map(normal_text, na_action="ignore")
+
+
 def normal_value(x: str | Column, aliases: dict[str, str] | None = None) -> Column:
-    """A value for comparison: no separators, lengths in centimetres, aliases replaced."""
-    bare = F.regexp_replace(F.lower(trimmed(x)), r"[\s_-]", "")
-    number = F.regexp_extract(bare, r"^(\d+(?:\.\d+)?)(mm|cm|m)$", 1)
-    unit = F.regexp_extract(bare, r"^(\d+(?:\.\d+)?)(mm|cm|m)$", 2)
-    factor = F.when(unit == "mm", 0.1).when(unit == "m", 100.0).otherwise(1.0)
-    out = F.when(unit != "", F.concat(general_number(F.nullif(number, F.lit("")).cast("double") * factor), F.lit("cm"))).otherwise(bare)
+    """A value for comparison: compatibility form, no separators, lengths in centimetres, aliases replaced.
+
+    Spark has no compatibility form, so this step runs in Arrow batches.
+    """
+    bare = normal_texts(col(x))
+    out = bare
     for short, full in (aliases or {}).items():
         out = F.when(bare == short, F.lit(full)).otherwise(out)
     return out

@@ -9,8 +9,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lodesift.functions.protocol import PLACES, WITH_EVIDENCE
+from lodesift.operators.checks import Violation, repeated, strict
 
 INVALID = "INVALID"
 DETAILS = ("issue_subtype", "evidence", "p_issue_subtype", "p_evidence")
@@ -97,6 +99,82 @@ def per_class(pairs: DataFrame, by: str = "violation_type", detail: bool = True)
     return with_details(pairs).groupBy(by).agg(F.count("*").alias("n"), F.count_if(right).alias("exact"), F.avg(right.cast("int")).alias("accuracy"))
 
 
+def perception(pairs: DataFrame, there: str = "p_there") -> DataFrame:
+    """One row: subtype accuracy over image_quality, place accuracy over the types with a place; rows without any prediction do not count.
+
+    there: whether the row has a prediction entry at all; the mean and the recall at one half of a place score of 0 or 1 are its accuracy.
+    """
+    seen, kind = F.col(there), F.col("violation_type")
+    subtyped = F.col("issue_subtype").eqNullSafe(F.col("p_issue_subtype"))
+    placed = F.coalesce(F.col("evidence").isin(*PLACES) & (F.col("evidence") == F.col("p_evidence")), F.lit(False))
+    rate = lambda hit, of: F.try_divide(F.count_if(of & hit), F.count_if(of))
+    with_place = seen & kind.isin(*WITH_EVIDENCE)
+    place = rate(placed, with_place)
+    return with_details(pairs).agg(
+        rate(subtyped, seen & (kind == "image_quality")).alias("quality_subtype_accuracy"), place.alias("image_ref_accuracy"), place.alias("evidence_mean_score"), place.alias("evidence_recall_at_0_5")
+    )
+
+
+def parse_rate(predictions: DataFrame, valid: str, samples: DataFrame | None = None, key: str = "sample_id") -> DataFrame:
+    """One row, parse_rate: valid answers of all prediction rows, or of all samples if they are given.
+
+    With samples a prediction id that repeats is an error (one answer a sample).
+    """
+    if samples is None:
+        return predictions.agg(F.coalesce(F.avg(F.coalesce(F.col(valid), F.lit(False)).cast("int")), F.lit(0.0)).alias("parse_rate"))
+    strict(repeated(predictions, key), "repeated prediction ids")
+    held = samples.select(key).join(predictions.select(key, valid), key, "left")
+    return held.agg(F.coalesce(F.avg(F.coalesce(F.col(valid), F.lit(False)).cast("int")), F.lit(0.0)).alias("parse_rate"))
+
+
+def matched(gold: DataFrame, predictions: DataFrame, key: str = "sample_id") -> int:
+    """How many labelled records have a prediction; none at all is an error."""
+    n = gold.join(predictions.select(key).distinct(), key, "left_semi").count()
+    if not n:
+        raise Violation("no prediction belongs to a labelled record")
+    return n
+
+
+def whole_report(pairs: DataFrame, priors: dict[str, float], costs: dict[tuple[str, str], float], valid: str = "p_valid", there: str = "p_there") -> DataFrame:
+    """One row with everything: rates, macro-F1 over types, expected cost, perception, parse rate and share of exact answers of all samples."""
+    rest = with_details(pairs).agg(
+        F.avg(F.coalesce(F.col(valid), F.lit(False)).cast("int")).alias("parse_rate"), F.avg((F.coalesce(F.col(valid), F.lit(False)) & exact()).cast("int")).alias("exact_protocol_accuracy")
+    )
+    parts = [report(pairs), type_macro_f1(pairs), risk(confusion(pairs), priors, costs), perception(pairs, there), rest]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.join(part)  # one row each
+    return out
+
+
+def counts_by(rows: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """(slice, value, n) for each column by itself; null values are left out."""
+    parts = F.array(*[F.struct(F.lit(b).alias("slice"), F.col(b).cast("string").alias("value")) for b in by])
+    return rows.select(F.explode(parts).alias("s")).where("s.value is not null").groupBy("s.slice", "s.value").agg(F.count("*").alias("n"))
+
+
+def size_histogram(rows: DataFrame, group: str, member: str) -> DataFrame:
+    """(size, groups): how many groups have how many different members."""
+    return rows.groupBy(group).agg(F.count_distinct(member).alias("size")).groupBy("size").agg(F.count("*").alias("groups"))
+
+
+def members_per_group(rows: DataFrame, group: str, member: str) -> DataFrame:
+    """(group, n, members): number and sorted list of the different members of each group, null ones left out."""
+    each = rows.groupBy(group).agg(F.array_sort(F.collect_set(member)).alias("members"))
+    return each.select(group, F.size("members").cast("bigint").alias("n"), "members")
+
+
+def metric_means(rows: DataFrame) -> DataFrame:
+    """One row with the mean of every number of the rows, at any depth of structs, under its joined names."""
+
+    def leaves(kind, path: str) -> list[str]:
+        if kind.typeName() == "struct":
+            return [leaf for f in kind.fields for leaf in leaves(f.dataType, f"{path}.{f.name}".lstrip("."))]
+        return [path] if kind.typeName() in ("byte", "short", "integer", "long", "float", "double", "decimal") else []
+
+    return rows.agg(*[F.avg(leaf).alias(leaf.replace(".", "_")) for leaf in leaves(rows.schema, "")])
+
+
 def slices(pairs: DataFrame, by: tuple[str, ...]) -> DataFrame:
     """(slice, value, n, accuracy) for each column by itself; null values are left out."""
     right = F.coalesce(F.col("decision") == F.col("p_decision"), F.lit(False)).cast("int")
@@ -126,3 +204,32 @@ def zero_variance_groups(rows: DataFrame, group: list[str], metric: str, least:
     """(group, n, mean, kept): a group is kept if its values differ or it has a single one."""
     each = rows.groupBy(*group).agg(F.count("*").alias("n"), F.avg(metric).alias("mean"), F.stddev_pop(metric).alias("sd"))
     return each.select(*group, "n", "mean", ((F.col("sd") > least) | (F.col("n") == 1)).alias("kept"))
+
+
+def group_tally(groups: DataFrame) -> DataFrame:
+    """One row: groups generated, kept and filtered, and the mean of the filtered groups' means."""
+    return groups.agg(F.count("*").alias("generated"), F.count_if("kept").alias("kept"), F.count_if(~F.col("kept")).alias("filtered"), F.avg(F.when(~F.col("kept"), F.col("mean"))).alias("filtered_mean"))
+
+
+def accumulated_groups(groups: DataFrame, batch: str, key: str, size: int, most: int) -> DataFrame:
+    """(update, key): the groups of each training update, collected from batch after batch until ``size`` are kept.
+
+    An update takes the first ``size`` kept groups in the order of batch and key; what is left over is dropped, and the next update begins with the
+    next batch.  After ``most`` batches without enough of them an update takes the groups of the last batch, kept or not, ``size`` of them at most.
+    groups: batch, key and kept.  Only a count for each batch is looked at one after the other.
+    """
+    counts = sorted((r[0], r[1]) for r in groups.groupBy(batch).agg(F.count_if("kept").alias("n")).collect())
+    updates, held, first, update = [], 0, None, 0
+    for place, (b, n) in enumerate(counts):
+        first = place if first is None else first
+        held += n
+        if held >= size or place - first + 1 >= most:
+            updates.append((counts[first][0] if held >= size else b, b, update, held >= size))
+            held, first, update = 0, None, update + 1
+    if not updates:
+        return groups.select(F.lit(0).alias("update"), key).limit(0)
+    spark = groups.sparkSession
+    of = spark.createDataFrame(updates, f"_first {groups.schema[batch].dataType.simpleString()}, _last {groups.schema[batch].dataType.simpleString()}, update int, _filtered boolean")
+    met = groups.join(F.broadcast(of), (F.col(batch) >= F.col("_first")) & (F.col(batch) <= F.col("_last")) & (F.col("kept") | ~F.col("_filtered")))  # a row an update
+    rank = F.row_number().over(Window.partitionBy("update").orderBy(batch, key))
+    return met.withColumn("_rank", rank).where(F.col("_rank") <= size).select("update", key)

@@ -2,35 +2,47 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodesift.functions.hashing import hamming
-from lodesift.session import Scratch
+from lodesift.session import Scratch, star_links
 
 
 def relation_links(rows: DataFrame, key: str, relations: list[str]) -> DataFrame:
-    """(a, b): the smallest key of each relation value linked with the others; nulls relate nothing."""
-    values = F.array(*[F.when(F.col(r).isNotNull(), F.concat(F.lit(f"{r}:"), F.col(r).cast("string"))) for r in relations])
-    flat = rows.select(F.col(key).alias("b"), F.explode(F.filter(values, lambda v: v.isNotNull())).alias("v")).distinct()
-    return flat.join(flat.groupBy("v").agg(F.min("b").alias("a")), "v").where("a < b").select("a", "b").distinct()
+    """(a, b): links that connect the keys of each value of the relations, arrays of values included; nulls relate nothing.
+
+    The keys of a value are linked through salted minima, so a value that a third of all rows has is spread over tasks.
+    """
+    parts = []
+    for r in relations:
+        flat = rows.select(F.col(key).alias("m"), (F.explode(r) if rows.schema[r].dataType.typeName() == "array" else F.col(r)).alias("v"))
+        parts.append(flat.where("v is not null").select("m", F.concat(F.lit(f"{r}:"), F.col("v").cast("string")).alias("v")))
+    union = parts[0]
+    for part in parts[1:]:
+        union = union.unionByName(part)
+    return star_links(union.distinct(), "v", "m").distinct()
 
 
-def bit_slices(bits: str | Column, parts: int) -> Column:
-    """(number, value) of each of ``parts`` slices of 64 bits."""
+def slice_choices(bits: str | Column, most: int, parts: int) -> Column:
+    """(number, value) of every choice of parts - most of the slices of 64 bits; values that differ in ``most`` bits agree in one of them."""
     cut = [round(64 * i / parts) for i in range(parts + 1)]
-    return F.array(*[F.struct(F.lit(k).alias("i"), F.shiftrightunsigned(F.shiftleft(bits, 64 - b), 64 - b + a).alias("v")) for k, (a, b) in enumerate(zip(cut, cut[1:], strict=False))])
+    part = [F.shiftrightunsigned(F.shiftleft(bits, 64 - b), 64 - b + a) for a, b in zip(cut, cut[1:], strict=False)]
+    return F.array(*[F.struct(F.lit(k).alias("i"), F.xxhash64(*[part[i] for i in chosen]).alias("v")) for k, chosen in enumerate(combinations(range(parts), parts - most))])
 
 
-def hamming_pairs(rows: DataFrame, key: str, bits: str, most: int = 4) -> DataFrame:
+def hamming_pairs(rows: DataFrame, key: str, bits: str, most: int = 4, spare: int = 2) -> DataFrame:
     """(a, b, distance): pairs of different keys whose bits differ in ``most`` places at most.
 
-    Equal values are compared once: the join runs on distinct values, cut in most + 1 slices of which near values
-    share one, and the keys are joined back.
+    Equal values are compared once: the join runs on distinct values, cut in most + spare slices, of which values so near agree in ``spare``; two
+    slices hold 21 bits, so that what meets by chance stays few among millions of values.  The keys are joined back at the end.
     """
     held = rows.where(F.col(bits).isNotNull()).select(F.col(key).alias("k"), F.col(bits).alias("h")).distinct()
-    flat = held.select("h").distinct().select("h", F.explode(bit_slices("h", most + 1)).alias("s"))
-    near = flat.select("s", F.col("h").alias("x")).join(flat.select("s", F.col("h").alias("y")), "s").where((F.col("x") <= F.col("y")) & (hamming("x", "y") <= most)).select("x", "y").distinct()
+    flat = held.select("h").distinct().select("h", F.explode(slice_choices("h", most, most + spare)).alias("s")).select("h", "s.i", "s.v")
+    met = flat.withColumnRenamed("h", "x").join(flat.withColumnRenamed("h", "y"), ["i", "v"])
+    near = met.where((F.col("x") <= F.col("y")) & (hamming("x", "y") <= most)).select("x", "y").distinct()
     both = near.join(held.select(F.col("h").alias("x"), F.col("k").alias("kx")), "x").join(held.select(F.col("h").alias("y"), F.col("k").alias("ky")), "y").where("kx <> ky")
     return both.select(F.least("kx", "ky").alias("a"), F.greatest("kx", "ky").alias("b"), hamming("x", "y").alias("distance")).distinct()
 
@@ -48,6 +60,7 @@ def groups_of(links: DataFrame, rounds: int = 100) -> DataFrame:
         moved = after.where("group <> old").limit(1).count()
         labels = after.drop("old")
         if not moved:
+            scratch.drop(both)
             return labels
     raise RuntimeError(f"labels still move after {rounds} rounds")
 

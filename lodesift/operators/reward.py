@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from lodesift.operators.checks import strict
+
+#: Weight of each part of a reward, and the gate of answers that should name a place.
 WEIGHTS = {"action": 0.30, "type": 0.35, "evidence": 0.20, "subtype": 0.15}
 GATE, GATED = 0.3, 0.70
 
 
 def action_score(true: Column, said: Column, costs: dict[tuple[str, str], float]) -> Column:
-    """1 - 2 cost; -1 for a decision that is none."""
-    out = F.when(true == said, 1.0).when(said.isin("pass", "reject"), -1.0).otherwise(-1.0)
+    """1 - 2 cost; an unlisted wrong decision costs 1, one that is none scores -1 like it."""
+    out = F.when(true == said, 1.0).otherwise(-1.0)
     for (t, s), c in costs.items():
         if not 0 <= c <= 1:
             raise ValueError(f"cost {c} is outside [0, 1]")
@@ -45,6 +49,30 @@ def scores(target: Column, data: Column, valid: Column, raw_decision: Column, co
     return F.struct(*[F.when(a, s).alias(n) for n, (a, s) in parts.items()], before.alias("before"), gated.alias("gated"), reward.alias("reward"))
 
 
+def value_score(listed: Column, observed: Column, p_listed: Column, p_observed: Column, p_decision: Column, kind: Column, p_kind: Column) -> Column:
+    """1 if both values are right, a half for one, 0.3 if only the type of a rejected or reviewed answer is; values in their normal form."""
+    right = lambda a, b: F.coalesce(a == b, F.lit(False))
+    both = right(listed, p_listed).cast("int") + right(observed, p_observed).cast("int")
+    typed = F.coalesce(p_decision.isin("review", "reject"), F.lit(False)) & kind.eqNullSafe(p_kind)
+    return F.when(both == 2, 1.0).when(both == 1, 0.5).when(typed, 0.3).otherwise(0.0)
+
+
+def adapted(rows: DataFrame, scored: str, source: str, valid: str, name: str = "vlm_product_audit") -> DataFrame:
+    """The flat floats that a trainer asks for: score, reward_*, evidence_gate_applied, protocol_valid; another source is an error."""
+    strict(rows.where(~F.coalesce(F.col(source) == name, F.lit(False))).select(source).distinct(), "unsupported data source")
+    parts = [F.col(f"{scored}.{p}").alias(f"reward_{p}") for p in WEIGHTS]
+    flags = [F.col(f"{scored}.gated").cast("double").alias("evidence_gate_applied"), F.col(valid).cast("double").alias("protocol_valid")]
+    others = [c for c in rows.columns if c not in (scored, source, valid)]
+    return rows.select(*others, F.col(f"{scored}.reward").alias("score"), *parts, *flags)
+
+
+def shifted_losses(tokens: DataFrame, by: str, order: list[str], mask: str, log_probability: str) -> DataFrame:
+    """(by, loss, masked_loss): mean loss over all tokens of a sequence, and over those whose predecessor's mask is set; null for an empty mask."""
+    kept = F.coalesce(F.lag(mask).over(Window.partitionBy(by).orderBy(*order)), F.lit(0))
+    rows = tokens.withColumn("_kept", kept)
+    return rows.groupBy(by).agg(F.avg(-F.col(log_probability)).alias("loss"), masked_loss(F.col("_kept"), F.col(log_probability)).alias("masked_loss"))
+
+
 def masked_loss(weight: Column, log_probability: Column) -> Column:
     """Aggregate: mean loss over the tokens that the mask keeps; null for an empty mask."""
     return F.try_divide(F.sum(weight * -log_probability), F.sum(weight))

@@ -8,6 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lodesift.functions.hashing import hex16
+from lodesift.functions.text import normalized
+from lodesift.session import Scratch, ranked
+
 
 def nearest_donor(rows: DataFrame, key: str, block: str, same: list[str]) -> DataFrame:
     """(key, donor): the smallest other key of the block whose ``same`` columns agree, if need be of the whole block.
@@ -24,20 +28,50 @@ def nearest_donor(rows: DataFrame, key: str, block: str, same: list[str]) -> Dat
     return out.select(key, F.coalesce(other("s"), other("b")).alias("donor"))
 
 
-def farthest_value(rows: DataFrame, key: str, value: str, distance, candidates: DataFrame) -> DataFrame:
-    """(key, value, chosen): the distinct candidate farthest from the row's value, ties by hash; candidates are few.
+def compatible_donor(rows: DataFrame, key: str, block: str, fields: tuple[str, ...] = ("color", "material"), fallback: bool = False) -> DataFrame:
+    """(key, donor): the smallest other key of the block whose fields agree or are empty on a side; null if there is none.
 
-    Distances are taken once for each pair of distinct values, then looked up.
+    fallback: then the smallest other key of the whole block.  The two smallest keys of each combination of values, and of those with any value, name
+    every row's donor, so no pairs of rows are made.
+    """
+    empty, any_ = "\x00empty", "\x00any"
+    value = lambda f: F.coalesce(F.nullif(normalized(f), F.lit("")), F.lit(empty))
+    held = rows.select(key, F.col(block).alias("_b"), *[value(f).alias(f) for f in fields])
+    views = held.select(key, "_b", *[F.array(F.col(f), F.lit(any_)).alias(f) for f in fields])
+    for f in fields:
+        views = views.withColumn(f, F.explode(f))
+    least = views.groupBy("_b", *fields).agg(F.min(key).alias("_1"))
+    second = views.join(least, ["_b", *fields]).where(F.col(key) != F.col("_1")).groupBy("_b", *fields).agg(F.min(key).alias("_2"))
+    two = least.join(second, ["_b", *fields], "left")
+    # a filled value meets itself and empty ones, an empty value meets any
+    asked = held.select(key, "_b", *[F.when(F.col(f) == empty, F.array(F.lit(any_))).otherwise(F.array(F.col(f), F.lit(empty))).alias(f) for f in fields])
+    for f in fields:
+        asked = asked.withColumn(f, F.explode(f))
+    other = F.when(F.col(key) != F.col("_1"), F.col("_1")).otherwise(F.col("_2"))
+    found = asked.join(two, ["_b", *fields]).groupBy(key).agg(F.min(other).alias("donor"))
+    if fallback:
+        whole = held.select(key, "_b", *[F.lit(any_).alias(f) for f in fields]).join(two, ["_b", *fields]).select(key, other.alias("_any"))
+        return whole.join(found, key, "left").select(key, F.coalesce("donor", "_any").alias("donor"))
+    return rows.select(key).join(found, key, "left")
+
+
+def farthest_value(rows: DataFrame, key: str, value: str, distance, candidates: DataFrame, seed: int = 42) -> DataFrame:
+    """(key, value, chosen): the distinct candidate farthest from the row's value, ties by a hash of seed, key and candidate.
+
+    Distances are taken once for each pair of distinct values; what a row looks up are the candidates that tie for the farthest.  Distinct values
+    are few against rows; how the two lists of them meet is left to Spark's own size check.
     """
     own = rows.select(value).where(F.col(value).isNotNull()).distinct()
-    pairs = own.join(F.broadcast(candidates.select(F.col(value).alias("_c")).distinct()), F.col(value) != F.col("_c"))
-    best = pairs.groupBy(value).agg(F.max_by("_c", F.struct(F.round(distance(F.col(value), F.col("_c")), 9), F.sha2("_c", 256), "_c")).alias("chosen"))
-    return rows.select(key, value).join(best, value, "left").select(key, value, "chosen")
+    others = candidates.select(F.col(value).alias("_c")).where(F.coalesce(F.col("_c") != "", F.lit(False))).distinct()
+    pairs = own.join(others, normalized(value) != normalized("_c")).select(value, "_c", F.round(distance(F.col(value), F.col("_c")), 9).alias("_d"))
+    best = pairs.groupBy(value).agg(F.max("_d").alias("_d")).join(pairs, [value, "_d"]).groupBy(value).agg(F.collect_list("_c").alias("_ties"))
+    order = lambda c: F.struct(hex16(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"), F.lit(":"), c)).alias("h"), c.alias("c"))
+    return rows.select(key, value).join(best, value, "left").select(key, value, F.array_max(F.transform("_ties", order))["c"].alias("chosen"))
 
 
-def turn(order: list[Column], names: tuple[str, ...], by: list[str]) -> Column:
-    """Names dealt in turn along the order of a group."""
-    n = F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1
+def turn(order: list[Column], names: tuple[str, ...], by: list[str], apart: int = 1) -> Column:
+    """Names dealt in turn along the order of a group; with ``apart`` each name is kept for so many rows, so two turns do not go together."""
+    n = F.floor((F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1) / apart)
     return F.element_at(F.array(*[F.lit(x) for x in names]), (n % len(names) + 1).cast("int"))
 
 
@@ -47,40 +81,142 @@ def expanded(rows: DataFrame, key: str, labels: str) -> DataFrame:
     return out.withColumn("sample_id", F.concat_ws("_", key, F.lpad(F.col("sample_index").cast("string"), 2, "0")))
 
 
-def allocate(eligible: dict[str, list[str]], quotas: dict[str, int], each: int) -> dict[str, list[str]]:
-    """Labels of each record: exactly ``each`` different ones, every label as often as its quota, by maximum flow."""
-    capacity: dict[tuple[str, str], int] = {}
-    near: dict[str, list[str]] = {}
+def adjusted_quota(quota: dict[str, int], capacity: dict[str, int], records: int, each: int = 3, rest: str = "pass") -> dict[str, int]:
+    """The quotas with what exceeds a label's capacity moved to ``rest``; they must come to ``each`` labels a record."""
+    out = dict(quota)
+    for label, most in capacity.items():
+        over = out.get(label, 0) - most
+        if over > 0:
+            out[label] = most
+            out[rest] = out.get(rest, 0) + over
+    if sum(out.values()) != each * records:
+        raise ValueError(f"the quotas come to {sum(out.values())}, not {each} for each of {records} records")
+    return out
+
+
+def class_flow(classes: dict[tuple[str, ...], int], quotas: dict[str, int], each: int) -> dict[tuple[tuple[str, ...], str], int]:
+    """How many records of each class get each label, by maximum flow; raises if the quotas cannot be met.
+
+    classes: the records by the labels that they may have.  A label goes to a record once, so a class takes a label as often as it has records at most.
+    """
+    left: dict[tuple, int] = {}
+    near: dict[object, list] = {}
 
-    def edge(a: str, b: str, c: int) -> None:
-        capacity[a, b], capacity[b, a] = c, 0
+    def edge(a: object, b: object, most: int) -> None:
+        left[a, b], left[b, a] = most, 0
         near.setdefault(a, []).append(b)
         near.setdefault(b, []).append(a)
 
     for label in sorted(quotas):
-        edge("<", f"l{label}", quotas[label])
-        for record in sorted(eligible.get(label, [])):
-            edge(f"l{label}", f"r{record}", 1)
-    records = sorted({r for rs in eligible.values() for r in rs})
-    for record in records:
-        edge(f"r{record}", ">", each)
+        edge("begin", label, quotas[label])
+    for labels, n in sorted(classes.items()):
+        for label in labels:
+            edge(label, labels, n)
+        edge(labels, "end", each * n)
     flow = 0
     while True:
-        came, queue = {"<": ""}, deque(["<"])
-        while queue and ">" not in came:
+        came, queue = {"begin": None}, deque(["begin"])
+        while queue and "end" not in came:
             at = queue.popleft()
             for to in near.get(at, []):
-                if to not in came and capacity[at, to] > 0:
+                if to not in came and left[at, to] > 0:
                     came[to] = at
                     queue.append(to)
-        if ">" not in came:
+        if "end" not in came:
             break
-        at = ">"
-        while at != "<":
-            capacity[came[at], at] -= 1
-            capacity[at, came[at]] += 1
+        path, at = [], "end"
+        while came[at] is not None:
+            path.append((came[at], at))
             at = came[at]
-        flow += 1
-    if flow != each * len(records) or flow != sum(quotas.values()):
+        step = min(left[e] for e in path)
+        for a, b in path:
+            left[a, b] -= step
+            left[b, a] += step
+        flow += step
+    if flow != each * sum(classes.values()) or flow != sum(quotas.values()):
         raise ValueError("the quotas cannot be met")
-    return {r: [x for x in sorted(quotas) if (f"l{x}", f"r{r}") in capacity and capacity[f"r{r}", f"l{x}"] > 0] for r in records}
+    return {(labels, label): left[labels, label] for labels in classes for label in labels if label in quotas and left[labels, label]}
+
+
+def allocated(rows: DataFrame, key: str, eligible: dict[str, Column], quotas: dict[str, int], each: int = 3, seed: int = 42) -> DataFrame:
+    """(key, labels): exactly ``each`` different labels for every record, every label as often as its quota.
+
+    The quotas are solved for classes of records that may have the same labels, of which there are 2 ** labels at most whatever the number of records.
+    Within a class the labels' shares stand one after the other on a ring of ``each`` rounds; the record of rank r takes the places r, r + n, r + 2n ...,
+    which are of different labels because none has more than n places.
+    """
+    names = sorted(quotas)
+    may = F.filter(F.array(*[F.when(F.coalesce(eligible.get(n, F.lit(True)), F.lit(False)), F.lit(n)) for n in names]), lambda x: x.isNotNull())
+    scratch = Scratch(rows.sparkSession, "allocated")
+    held = scratch.write(rows.select(key, may.alias("_may")), "eligible")
+    classes = {tuple(r["_may"]): r["n"] for r in held.groupBy("_may").agg(F.count("*").alias("n")).collect()}
+    given = class_flow(classes, quotas, each)
+    shares = []
+    for labels, n in classes.items():
+        bounds, total = [], 0
+        for label in labels:
+            total += given.get((labels, label), 0)
+            bounds.append(total)
+        shares.append((list(labels), n, bounds))
+    of = rows.sparkSession.createDataFrame(shares, "_may array<string>, _n bigint, _bounds array<bigint>")
+    placed = ranked(held, ["_may"], key, "_rank", seed).join(F.broadcast(of), "_may")  # a row a class
+    label_at = lambda j: F.get("_may", F.size(F.filter("_bounds", lambda b: b <= F.col("_rank") + F.lit(j) * F.col("_n"))))
+    return placed.select(key, F.array_sort(F.array(*[label_at(j) for j in range(each)])).alias("labels"))
+
+
+def resampled(rows: DataFrame, key: str, product: str, label: str, quotas: dict[str, int], per_product: int, seed: int = 42) -> DataFrame:
+    """A training selection: at most ``per_product`` rows a product, then at most its quota of each label, both in hash order."""
+    h = hex16(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
+    few = rows.withColumn("_h", h).withColumn("_n", F.row_number().over(Window.partitionBy(product).orderBy("_h", key))).where(F.col("_n") <= per_product)
+    quota = F.lit(0)
+    for name, n in quotas.items():
+        quota = F.when(F.col(label) == name, F.lit(n)).otherwise(quota)
+    return few.withColumn("_n", F.row_number().over(Window.partitionBy(label).orderBy("_h", key))).where(F.col("_n") <= quota).drop("_h", "_n")
+
+
+def duplicated_detail(images: str = "images") -> Column:
+    """The pictures with the first detail in the place of the second."""
+    first = F.get(F.col(f"{images}.detail"), F.lit(0))
+    return F.struct(F.col(f"{images}.main").alias("main"), F.array(first, first).alias("detail"))
+
+
+def swapped_detail(index: Column, donor: str, images: str = "images") -> tuple[Column, Column]:
+    """The pictures with the donor's detail in the place that the sample's number (from 1) names, and that place."""
+    place = (index - 1) % 2
+    pick = lambda n: F.when(place == n, F.get(F.col(f"{donor}.detail"), F.lit(n))).otherwise(F.get(F.col(f"{images}.detail"), F.lit(n)))
+    return F.struct(F.col(f"{images}.main").alias("main"), F.array(pick(0), pick(1)).alias("detail")), F.concat(F.lit("detail:"), (place + 1).cast("string"))
+
+
+def stage_and_split(target: Column) -> tuple[Column, Column]:
+    """Stage and split that the name of a target set stands for."""
+    stage = F.when(target == "test", F.lit("test")).when(target.startswith("sft_"), F.lit("sft")).otherwise(F.lit("grpo"))
+    return stage, F.when(target == "test", F.lit("test")).when(target.endswith("_valid"), F.lit("validation")).otherwise(F.lit("train"))
+
+
+def made(rows: DataFrame, key: str = "product_id") -> DataFrame:
+    """A sample for each label of each record, changed as the label says.
+
+    rows: key, title, category, images, labels (array) and donor (struct of title and images, null where there is none).
+    duplicate_detail_image doubles the first detail, wrong_image takes the donor's detail, title_mismatch its title; a sample that needs a donor and has
+    none is left out.  Other labels keep the record; attribute labels are changed by ``title.mutation``.
+    """
+    flat_rows = rows.select("*", F.posexplode("labels").alias("_pos", "violation_type")).withColumn("sample_index", F.col("_pos") + 1)
+    flat_rows = flat_rows.where(~F.col("violation_type").isin("wrong_image", "title_mismatch") | F.col("donor").isNotNull())
+    kind = F.col("violation_type")
+    swapped, place = swapped_detail(F.col("sample_index"), "donor.images")
+    images = F.when(kind == "duplicate_detail_image", duplicated_detail()).when(kind == "wrong_image", swapped).otherwise(F.struct(F.col("images.main").alias("main"), F.col("images.detail").alias("detail")))
+    return flat_rows.select(
+        F.concat_ws("_", key, F.lpad(F.col("sample_index").cast("string"), 2, "0")).alias("product_id"), F.col(key).alias("source_product_id"), "sample_index", kind, difficulty(kind).alias("difficulty"),
+        F.when(kind == "title_mismatch", F.col("donor.title")).otherwise(F.col("title")).alias("title"), "category", images.alias("images"), F.when(kind == "wrong_image", place).alias("target_image_ref"),
+    )
+
+
+#: Difficulty of a label in made samples.
+DIFFICULTY = {"easy": ("pass", "duplicate_detail_image", "image_quality"), "medium": ("category_mismatch", "wrong_image", "color_mismatch"), "hard": ("title_mismatch", "material_mismatch")}
+
+
+def difficulty(label: str | Column, levels: dict[str, tuple[str, ...]] = DIFFICULTY) -> Column:
+    c, out = F.col(label) if isinstance(label, str) else label, F.lit(None).cast("string")
+    for level, labels in levels.items():
+        out = F.when(c.isin(*labels), F.lit(level)).otherwise(out)
+    return out

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -12,11 +10,10 @@ from lodesift.functions import protocol
 from lodesift.functions.hashing import bits64, fraction, hex16
 from lodesift.functions.text import family, filled, lexical_distance, mentions, one_value, plain, replace_phrase, token_set
 from lodesift.operators import checks, evaluate, graph, reward, split, synthesize
+from lodesift.plans.registry import HASH, PLAIN, QUERIES, SPACE, SQL, query, rounded
 from lodesift.session import table
 from lodesift.streaming.events import windowed
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
 COSTS = {("pass", "reject"): 0.75, ("reject", "pass"): 1.0}
 NONE = "~"
 PRIORS = {"pass": 0.6, "reject": 0.4}
@@ -24,27 +21,6 @@ STAGES = (("sft", 0.4), ("grpo", 0.4), ("test", 0.2))
 FAMILIES = {"dark": ("black", "navy", "charcoal"), "warm": ("red", "orange", "yellow", "gold", "brown"), "cool": ("blue", "green", "teal", "cyan")}
 
 
-def query(sql: str | None = None):
-    """Registers a function as a query under its name."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def rounded(df: DataFrame, digits: int = 9) -> DataFrame:
-    return df.select(*[F.round(c, digits).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes])
-
-
-SPACE = r"regexp_replace({0}, '^[\s\x{{A0}}]+|[\s\x{{A0}}]+$', '', 'g')"
-PLAIN = "lower(" + SPACE + ")"
-HASH = "('0x' || substr(sha256({0}), 1, 12))::BIGINT / 281474976710656.0"
-
-
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled records of all_product, once each, with a made answer of each that is wrong for some hashes."""
     rows = table(spark, sf_dir, "all_product").where(filled("violation_type"))
@@ -219,8 +195,7 @@ def component_representatives(spark, d):
 
 @query("""SELECT sha256(text) AS sha, min(doc_id) AS first_id, count(*) AS copies FROM documents WHERE text IS NOT NULL GROUP BY text HAVING count(*) > 1""")
 def exact_copies(spark, d):
-    rows = table(spark, d, "documents").where("text is not null").groupBy(F.sha2("text", 256).alias("sha"))
-    return rows.agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies")).where("copies > 1")
+    return checks.copies(table(spark, d, "documents"), "doc_id", "text").toDF("sha", "first_id", "copies")
 
 
 @query("""WITH h AS (SELECT DISTINCT image_id, phash, ('0x' || phash)::UBIGINT AS b FROM asset WHERE regexp_full_match(phash, '[0-9a-fA-F]{16}')),
@@ -230,7 +205,13 @@ def hamming_pairs(spark, d):
     return graph.hamming_pairs(table(spark, d, "asset").select("image_id", bits64("phash").alias("bits")), "image_id", "bits", 4)
 
 
-@query()
+NEAR_HASHES = """h AS (SELECT DISTINCT image_id, sha256, CASE WHEN regexp_full_match(phash, '[0-9a-fA-F]{16}') THEN ('0x' || phash)::UBIGINT END AS b FROM asset),
+s AS (SELECT image_id, b, unnest([{'i': 0, 'v': b & 8191}, {'i': 1, 'v': (b >> 13) & 8191}, {'i': 2, 'v': (b >> 26) & 8191}, {'i': 3, 'v': (b >> 39) & 8191}, {'i': 4, 'v': (b >> 52) & 4095}]) AS s FROM h WHERE b IS NOT NULL)"""
+
+
+@query(f"""WITH RECURSIVE {NEAR_HASHES}, e AS (SELECT x.image_id AS a, y.image_id AS b FROM s x JOIN s y ON x.s = y.s AND x.image_id <> y.image_id WHERE bit_count(xor(x.b, y.b)) <= 4
+UNION SELECT x.image_id, y.image_id FROM h x JOIN h y ON x.sha256 = y.sha256 AND x.image_id <> y.image_id),
+r(x, y) AS (SELECT a, b FROM e UNION SELECT r.x, e.b FROM r JOIN e ON r.y = e.a) SELECT x AS image_id, min(y) AS group_id FROM r GROUP BY x""")
 def hash_components(spark, d):
     rows = table(spark, d, "asset").select("image_id", "sha256", bits64("phash").alias("bits"))
     near = graph.hamming_pairs(rows, "image_id", "bits", 4).select("a", "b")
@@ -266,13 +247,6 @@ def donor_choice(spark, d):
     return synthesize.nearest_donor(table(spark, d, "part").select("p_partkey", "p_type", "p_size", "p_brand"), "p_partkey", "p_type", ["p_size", "p_brand"])
 
 
-@query("""WITH v AS (SELECT DISTINCT p_brand AS x FROM part), k AS (SELECT p_brand, max_by(x, sha256(x)) AS chosen FROM (SELECT DISTINCT p_brand FROM part) p JOIN v ON x <> p_brand GROUP BY p_brand)
-SELECT p_partkey, part.p_brand, chosen FROM part LEFT JOIN k USING (p_brand)""")
-def farthest_value(spark, d):
-    rows = table(spark, d, "part").select("p_partkey", "p_brand")
-    return synthesize.farthest_value(rows, "p_partkey", "p_brand", lambda a, b: F.lit(1.0), rows)
-
-
 @query("""WITH r AS (SELECT p_partkey, p_type, (row_number() OVER (PARTITION BY p_type ORDER BY p_partkey) - 1) % 3 AS k FROM part)
 SELECT p_partkey, ['blur', 'low_resolution', 'occlusion'][k + 1] AS subtype FROM r""")
 def quality_turns(spark, d):
@@ -290,9 +264,12 @@ def repeated_ids(spark, d):
     return checks.repeated(table(spark, d, "export_ids"), "sample_id")
 
 
-@query("""SELECT DISTINCT i AS image_id FROM (SELECT images.main.image_id AS i FROM all_product) WHERE i IS NULL OR i NOT IN (SELECT image_id FROM asset WHERE image_id IS NOT NULL)""")
+@query("""SELECT DISTINCT i AS image_id FROM (SELECT images.main.image_id AS i FROM all_product UNION ALL SELECT unnest(images.detail).image_id FROM all_product
+UNION ALL SELECT unnest(source_image_ids) FROM export_ids) WHERE i IS NULL OR i NOT IN (SELECT image_id FROM asset WHERE image_id IS NOT NULL)""")
 def missing_assets(spark, d):
-    return checks.missing(table(spark, d, "all_product").select(F.col("images.main.image_id").alias("image_id")), "image_id", table(spark, d, "asset"))
+    shown = F.concat(F.array("images.main.image_id"), F.transform("images.detail", lambda x: x["image_id"]))
+    named = table(spark, d, "all_product").select(F.explode(shown).alias("image_id")).unionByName(table(spark, d, "export_ids").select(F.explode("source_image_ids").alias("image_id")))
+    return checks.missing(named, "image_id", table(spark, d, "asset"))
 
 
 @query("""SELECT image_id, count(DISTINCT sha256) AS n FROM asset GROUP BY image_id HAVING count(DISTINCT sha256) > 1""")
@@ -300,6 +277,11 @@ def conflicting_hashes(spark, d):
     return checks.conflicting(table(spark, d, "asset"), "image_id", "sha256")
 
 
+@query("""SELECT sha256, count(DISTINCT image_id) AS n FROM asset GROUP BY sha256 HAVING count(DISTINCT image_id) > 1""")
+def copied_contents(spark, d):
+    return checks.conflicting(table(spark, d, "asset"), "sha256", "image_id")
+
+
 @query("""SELECT source, CASE WHEN count(DISTINCT lang) = 1 THEN min(lang) END AS only_lang FROM
 (SELECT source, trim(lang) AS lang FROM documents WHERE length(trim(lang)) BETWEEN 1 AND 5 UNION ALL SELECT source, NULL FROM documents) GROUP BY source""")
 def one_language(spark, d):
@@ -327,14 +309,13 @@ def last_delivery(spark, d):
 
 @query("""WITH n AS (SELECT source_product_id, count(DISTINCT product_id) AS n FROM all_product GROUP BY ALL) SELECT n AS samples, count(*) AS products FROM n GROUP BY n""")
 def samples_per_product(spark, d):
-    each = table(spark, d, "all_product").groupBy("source_product_id").agg(F.count_distinct("product_id").alias("samples"))
-    return each.groupBy("samples").agg(F.count("*").alias("products"))
+    return evaluate.size_histogram(table(spark, d, "all_product"), "source_product_id", "product_id").toDF("samples", "products")
 
 
 @query("""SELECT source_product_id, count(DISTINCT image_id) AS images, string_agg(DISTINCT image_id, ',' ORDER BY image_id) AS image_ids FROM asset GROUP BY source_product_id""")
 def picture_rollup(spark, d):
-    each = table(spark, d, "asset").groupBy("source_product_id").agg(F.array_sort(F.collect_set("image_id")).alias("ids"))
-    return each.select("source_product_id", F.size("ids").cast("bigint").alias("images"), F.when(F.size("ids") > 0, F.array_join("ids", ",")).alias("image_ids"))
+    each = evaluate.members_per_group(table(spark, d, "asset"), "source_product_id", "image_id")
+    return each.select("source_product_id", F.col("n").alias("images"), F.when(F.col("n") > 0, F.array_join("members", ",")).alias("image_ids"))
 
 
 @query("""SELECT p_partkey, 'product_' || lpad(row_number() OVER (ORDER BY p_partkey)::VARCHAR, 4, '0') AS name FROM part ORDER BY p_partkey LIMIT 100""")
@@ -364,14 +345,28 @@ def shifted_mask(spark, d):
     return table(spark, d, "events").select("user_id", "event_id", F.lag("value").over(Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("before"))
 
 
-@query()
-def exact_packing(spark, d):
+def packing_components(spark, d):
+    """(component_id, n, strata): a component's strata are the sums over its different rows; n is its number of different members."""
     rows = table(spark, d, "component").where("component_id is not null and member_indices is not null")
-    sizes = rows.groupBy("component_id").agg(F.size(F.array_distinct(F.flatten(F.collect_list("member_indices")))).alias("n")).where("n > 0")
-    total = sizes.agg(F.sum("n")).first()[0] or 0
-    # a row counts once; a component's strata are the sums over its rows, brought to its number of different members
+    flat = rows.select("component_id", F.explode("member_indices").alias("m")).where("m is not null")
+    sizes = flat.groupBy("component_id").agg(F.count_distinct("m").alias("n"))
     once = rows.select("component_id", "strata", F.array_sort(F.array_distinct("member_indices")).alias("m")).select("component_id", F.array_sort(F.map_entries("strata")).alias("e"), "m").distinct()
     each = once.select("component_id", F.explode("e").alias("e")).where("e.value > 0").groupBy("component_id", "e.key").agg(F.sum("e.value").alias("value"))
     counts = each.groupBy("component_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "value")))).alias("strata"))
-    counts = sizes.join(counts, "component_id", "left").select("component_id", "n", "strata")
+    return sizes.join(counts, "component_id", "left").select("component_id", "n", "strata")
+
+
+@query()
+def exact_packing(spark, d):
+    counts = packing_components(spark, d)
+    total = counts.agg(F.sum("n")).first()[0] or 0
     return split.packed(counts, {"train": total - total // 5, "test": total // 5})
+
+
+@query("""WITH c AS (SELECT component_id, count(DISTINCT m) AS n FROM (SELECT component_id, unnest(member_indices) AS m FROM component WHERE component_id IS NOT NULL) WHERE m IS NOT NULL GROUP BY component_id),
+t AS (SELECT sum(n)::BIGINT AS t, count(*) AS c FROM c) SELECT 'train' AS target, t - t // 5 AS members, c AS components FROM t UNION ALL SELECT 'test', t // 5, c FROM t""")
+def packing_sizes(spark, d):
+    """Members of each target of the packing, which must be exact, and all components that it placed."""
+    placed = exact_packing(spark, d).join(packing_components(spark, d).select("component_id", "n"), "component_id")
+    sizes = placed.groupBy("target").agg(F.sum("n").alias("members"))
+    return sizes.join(placed.agg(F.count_distinct("component_id").alias("components")))

@@ -8,6 +8,7 @@ import uuid
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: A key that holds more than 1 / HOT_SHARE of all rows counts as hot; fewer than HOT_SHARE keys can.
 HOT_SHARE = 64
@@ -125,3 +126,27 @@ def star_links(rows: DataFrame, key: str, member: str, salts: int | None = None)
     top = part.groupBy("_k").agg(F.min("_p").alias("_t"))
     far = part.join(top, "_k").select(F.col("_t").alias("a"), F.col("_p").alias("b"))
     return near.unionByName(far).where("a < b")
+
+
+def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
+    """``rows`` with their places in the order, from 0, without bringing all of them into one task.
+
+    The rows are cut into ranges of the order, numbered within each and moved on by the sizes of the ranges before.
+    """
+    spark = rows.sparkSession
+    parts = rows.repartitionByRange(partitions(spark), *order).withColumn("_part", F.spark_partition_id())
+    parts = Scratch(spark, "numbered").write(parts, "ranges")
+    sizes = parts.groupBy("_part").agg(F.count("*").alias("_size"))
+    before = sizes.select("_part", (F.sum("_size").over(Window.orderBy("_part")) - F.col("_size")).alias("_before"))  # a row a range
+    own = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
+    return parts.withColumn("_own", own).join(F.broadcast(before), "_part").withColumn(name, (F.col("_before") + F.col("_own")).cast("bigint")).drop("_part", "_own", "_before")
+
+
+def ranked(rows: DataFrame, by: list[str], key: str, name: str, seed: int = 0) -> DataFrame:
+    """``rows`` with a rank from 0 in the pseudo-random order of the keys of each group, in two steps, so no group meets in one task."""
+    h = F.xxhash64(F.lit(seed), key)
+    rows = rows.withColumn("_h", h).withColumn("_slice", F.shiftrightunsigned("_h", 54))
+    sizes = rows.groupBy(*by, "_slice").agg(F.count("*").alias("_m"))
+    before = sizes.withColumn("_before", F.sum("_m").over(Window.partitionBy(*by).orderBy("_slice")) - F.col("_m")).drop("_m")
+    own = F.row_number().over(Window.partitionBy(*by, "_slice").orderBy("_h", key)) - 1
+    return rows.withColumn("_own", own).join(before, [*by, "_slice"]).withColumn(name, F.col("_own") + F.col("_before")).drop("_h", "_slice", "_own", "_before")
