@@ -266,9 +266,8 @@ def classes(records: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]
 
 def near_classes(sets: DataFrame, threshold: float, scratch: Scratch, sketches: int = SKETCHES, order: int = ORDER, k: int = K) -> DataFrame:
     """(a, b, similarity, edit_similarity), a < b: the classes of a block whose common share of features reaches the threshold."""
-    rows = scratch.write(buckets(sets.select("cls", "block", "words"), sketches, order, k), "buckets")
+    rows = buckets(sets.select("cls", "block", "words"), sketches, order, k)
     pairs = scratch.write(candidates(rows, threshold), "candidates")
-    scratch.drop(rows)
     at = lambda end: sets.select(F.col("cls").alias(end), F.array_distinct("words").alias(f"{end}_features"))
     return aligned(pairs.join(at("a"), "a").join(at("b"), "b"), threshold)
 
