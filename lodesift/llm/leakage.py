@@ -53,7 +53,7 @@ BITS, COUNTERS = 28, 26
 OFTEN, POWER = 4, 1.3
 #: Pieces sketched at once, words remembered with their hashes, and pieces of a document whose candidates are one row.
 CHUNK, REMEMBERED, PART = 16_384, 1_000_000, 1_000
-NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
+NONE = np.float32(np.inf)
 
 
 class WordHashes:
@@ -98,14 +98,28 @@ class ShingleCounts:
 
 
 #: How late a shingle comes, by its count.
-LATE = np.round(16 * (np.maximum(np.arange(256), OFTEN) / OFTEN) ** POWER).astype(np.uint64)
-
-
-def minima(hashes: np.ndarray, late: np.ndarray, begin: np.ndarray, multipliers: np.ndarray) -> np.ndarray:
-    """SKETCHES minima of each part of hashes that begins at ``begin``; no part is empty."""
-    out = np.empty((len(multipliers), len(begin)), np.uint64)
-    for r, a in enumerate(multipliers):
-        out[r] = np.minimum.reduceat(((hashes * a) >> np.uint64(32)) * late, begin)
+LATE = ((np.maximum(np.arange(256), OFTEN) / OFTEN) ** POWER).astype(np.float32)
+
+
+def minima(hashes: np.ndarray, late: np.ndarray, sizes: np.ndarray, multipliers: np.ndarray) -> np.ndarray:
+    """SKETCHES minima of each part of hashes; the parts stand end to end and none is empty.
+
+    The first hashes of all parts are compared with the second ones, and so on, the longest parts first, so that every step runs along an array.
+    """
+    order = np.argsort(-sizes, kind="stable")
+    begin = (np.cumsum(sizes) - sizes)[order]
+    many = np.searchsorted(-sizes[order], -np.arange(int(sizes.max())), "left")
+    place = np.concatenate([begin[:n] + k for k, n in enumerate(many)])
+    short, late = (hashes[place] >> np.uint64(32)).astype(np.uint32), late[place]
+    out = np.empty((len(multipliers), len(sizes)), np.float32)
+    for r, a in enumerate((multipliers >> np.uint64(32)).astype(np.uint32) | np.uint32(1)):
+        value = (short * a).astype(np.float32)
+        value *= late
+        least, at = value[: many[0]], many[0]
+        for n in many[1:]:
+            np.minimum(least[:n], value[at : at + n], out=least[:n])
+            at += n
+        out[r, order] = least
     return out
 
 
@@ -122,7 +136,7 @@ def bands(least: np.ndarray, rows: int, name: str) -> np.ndarray:
     tag = mixed(np.arange(many, dtype=np.uint64) + np.uint64(1000 * rows + len(name)))
     out = np.repeat(tag[:, None], least.shape[1], 1)
     for k in range(rows):
-        out = mixed(out * np.uint64(3) + least[k : many * rows : rows])
+        out = mixed(out * np.uint64(3) + least[k : many * rows : rows].view(np.uint32))
     return out
 
 
@@ -181,7 +195,7 @@ def item_bands(rows: DataFrame, item_key: str, known: ShingleCounts) -> DataFram
             hashes, sizes = flat(batch.column("shingles"))
             if not len(hashes):
                 continue
-            small = minima(hashes, LATE[counts.of(hashes)], np.concatenate([[0], np.cumsum(sizes)])[:-1], multipliers)
+            small = minima(hashes, LATE[counts.of(hashes)], sizes, multipliers)
             of_size = batch.column("size").to_numpy()
             for s, (name, *_) in enumerate(SIZES):
                 at = np.flatnonzero(of_size == s)
@@ -218,9 +232,8 @@ def document_bands(docs: DataFrame, key: str, text: str, known: ShingleCounts, w
             filled = np.flatnonzero(size[first:end])
             if not len(filled):
                 continue
-            starts = np.concatenate([[0], np.cumsum(size[first:end])])[:-1][filled]
-            small = np.full((SKETCHES, end - first + gap), NONE)
-            small[:, filled] = minima(hashes, late, starts, multipliers)
+            small = np.full((SKETCHES, end - first + gap), NONE, np.float32)
+            small[:, filled] = minima(hashes, late, size[first:end][filled], multipliers)
             for name, _, _, many, _, _ in SIZES:
                 n = total[first + many : last + many] - total[first:last]
                 for rows in np.unique(table_of[name]):
