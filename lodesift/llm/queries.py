@@ -31,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_sample": p2_sample,
     "p2_report": p2_report,
     "p3_found": canonical.product_values,
+    "p3_entries": canonical.product_entries,
     "p4_found": overlap.overlap_pairs,
     "p4_counts": overlap.overlap_counts,
     "p5_found": near.product_pairs,
@@ -39,7 +40,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p6_splits": splits.export_splits,
     "p7_sample": stable_sample.export_sample,
     "p7_components": stable_sample.component_sample,
-    "p7_delivered": stable_sample.delivered_sample,
+    "p7_at_once": stable_sample.whole_sample,
     "p8_ids": encode.document_ids,
     "p8_bytes": encode.token_counts,
     "p9_found": leakage.benchmark_leaks,
@@ -69,7 +70,11 @@ q AS (SELECT t.target_set, t.target_id, greatest(t.min_rows, (t.share_bp * (SELE
   (SELECT count(DISTINCT product_id) FROM p WHERE (t.violation_type IS NULL OR v = {PLAIN.format('t.violation_type')}) AND (t.difficulty IS NULL OR d = {PLAIN.format('t.difficulty')})
     AND (t.category IS NULL OR c = {PLAIN.format('t.category')})) AS available FROM sample_target t)"""
 
+PRIORITY = "('0x' || substr(sha256('7:' || product_id), 1, 13))::BIGINT"
 SQL: dict[str, str] = {
+    "p2_sample": f"""WITH {TARGETS}, m AS (SELECT DISTINCT t.target_set, t.target_id, p.product_id, q.need FROM p JOIN sample_target t ON (t.violation_type IS NULL OR v = {PLAIN.format('t.violation_type')}) AND (t.difficulty IS NULL OR d = {PLAIN.format('t.difficulty')})
+  AND (t.category IS NULL OR c = {PLAIN.format('t.category')}) JOIN q ON q.target_id = t.target_id)
+SELECT target_set, target_id, product_id FROM m QUALIFY row_number() OVER (PARTITION BY target_id ORDER BY {PRIORITY}, product_id) <= need""",
     "p1_found": f"WITH RECURSIVE {LINKED} SELECT x AS product_index, min(y) AS group_index FROM r1 GROUP BY x",
     "p2_found": f"WITH {TARGETS} SELECT target_id FROM q WHERE available < need",
     "p2_report": f"WITH {TARGETS} SELECT target_set, target_id, need, available, least(need, available) AS taken, available < need AS exhausted FROM q",
@@ -101,4 +106,4 @@ w AS (SELECT component_id, max(coalesce(len(m), 0)) AS weight FROM c GROUP BY co
 SELECT DISTINCT component_id, product_index FROM (SELECT component_id, unnest(m) AS product_index FROM c WHERE component_id IN (SELECT component_id FROM s))""",
 }
 #: Bringing the deliveries in one by one gives the sample of all of them.
-SQL["p7_delivered"] = SQL["p7_sample"]
+SQL["p7_at_once"] = SQL["p7_sample"]
