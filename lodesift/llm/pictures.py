@@ -24,7 +24,7 @@ def split_name(split: str | Column) -> Column:
 
 
 def named_pictures(samples: DataFrame, assets: DataFrame, key: str = "sample_id", refs: str = "source_image_ids", phash: bool = False) -> DataFrame:
-    """(key, picture[, bits]), once each: the pictures that each sample names, with the bits of their perceptual hash.
+    """(key, picture[, all_bits]), once each: the pictures that each sample names, with the bits of their perceptual hashes, sorted.
 
     A reference names the asset whose image_id it holds as a whole run of letters and digits, in any letter case,
     or whose sha256 it holds.  Assets with the same sha256 are one picture.  Null references, and runs that no asset
@@ -52,12 +52,10 @@ def named_pictures(samples: DataFrame, assets: DataFrame, key: str = "sample_id"
     by_id = assets.select(F.col("id").alias("run"), picture, *named).join(counted.where(F.substring("run", 1, 1) == b"i"), "run")
     by_sha = assets.where("sha is not null").select(F.col("sha").alias("run"), F.col("sha").alias("picture"), *named)
     by_sha = by_sha.join(counted.where(F.substring("run", 1, 1) == b"s"), "run")
-    all_bits = [F.collect_set("bits").alias("all_bits")] if phash else []
+    all_bits = [F.array_sort(F.collect_set("bits")).alias("all_bits")] if phash else []
     there = by_id.unionByName(by_sha).groupBy("run").agg(F.min("picture").alias("picture"), F.max("n").alias("n"), *all_bits)
     found = lookup(held, scratch.write(there, "found"), "run", "n")
-    if not phash:
-        return found.select(key, "picture").distinct()
-    return found.select(key, "picture", F.explode_outer("all_bits").alias("bits")).distinct()
+    return found.select(key, "picture", *[c for c in ("all_bits",) if phash]).distinct()
 
 
 def latest_samples(spark, sf_dir: str) -> DataFrame:

@@ -105,8 +105,37 @@ def test_leaked_items_of_tables(spark):
 def test_full_text_index_finds_whole_words_only():
     rng = random.Random(4)
     words = [bytes(rng.choices(b"abc", k=rng.randrange(1, 9))) for _ in range(300)]
-    held, streamed = words[:150], words[100:]
-    assert overlap.whole_words(held, streamed).tolist() == [w in set(held) for w in streamed]
+    held, streamed = sorted(set(words[:150])), words[100:]
+    line = overlap.met_lines(held, streamed)
+    assert [None if k < 0 else held[k] for k in line] == [w if w in set(held) else None for w in streamed]
+
+
+def test_full_text_index_gives_maximal_matches_and_places():
+    rng = random.Random(11)
+    lines = sorted({bytes(rng.choices(b"abcd", k=rng.randrange(1, 12))) for _ in range(200)})
+    text = b"\n" + b"".join(w + b"\n" for w in lines) + b"\0"
+    index = overlap.FullTextIndex(np.frombuffer(text, np.uint8))
+    asked = [bytes(rng.choices(b"abcde", k=8)) for _ in range(100)]
+    length, place = index.longest(np.frombuffer(b"".join(asked), np.uint8).reshape(-1, 8))
+    at = index.located(place)
+    for w, n, p in zip(asked, length, at, strict=True):
+        assert n == max(k for k in range(9) if w[8 - k :] in text)
+        assert n == 0 or text[p : p + n] == w[8 - n :]
+
+
+def test_overlaps_need_the_index(spark, monkeypatch):
+    s = spark.createDataFrame([("a_c_1", "train", ["X1"]), ("b_c_1", "test", ["X1"])], "sample_id string, split string, source_image_ids array<string>")
+    a = spark.createDataFrame([("X1", "ab" * 32, "0" * 16)], "image_id string, sha256 string, phash string")
+    found = overlap.overlaps(s, a).collect()
+    assert [(r["by_key"], r["by_picture"], r["by_near"], r["words"], r["spans"]) for r in found] == [(True, True, True, 2, 1)]
+    monkeypatch.setattr(overlap, "met_words", lambda t, e: t.select("word", F.col("word").alias("met")).limit(0))
+    monkeypatch.setattr(overlap, "near_hashes", lambda rows: rows.select(F.col("bits").alias("t"), F.col("bits").alias("e")).limit(0))
+    assert overlap.overlaps(s, a).count() == 0
+
+
+def test_spans_are_merged_where_they_touch(spark):
+    rows = spark.createDataFrame([([0, 1, 2],), ([0, 2, 3, 7],), ([],)], "at array<int>")
+    assert [r[0] for r in rows.select(overlap.merged_spans(F.col("at"))).collect()] == [1, 3, 0]
 
 
 def test_overlaps_match_brute_force(spark):
