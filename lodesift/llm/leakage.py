@@ -136,8 +136,9 @@ def bands(least: np.ndarray, rows: int, name: str) -> np.ndarray:
     tag = mixed(np.arange(many, dtype=np.uint64) + np.uint64(1000 * rows + len(name)))
     out = np.repeat(tag[:, None], least.shape[1], 1)
     for k in range(rows):
-        out = mixed(out * np.uint64(3) + least[k : many * rows : rows].view(np.uint32))
-    return out
+        out *= np.uint64(0x9E3779B97F4A7C15)
+        out += least[k : many * rows : rows].view(np.uint32)
+    return mixed(out)
 
 
 def windows(words: np.ndarray, name: str) -> Iterator[tuple[np.ndarray, int]]:
