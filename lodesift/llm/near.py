@@ -101,6 +101,7 @@ def ordered_samples(mers: np.ndarray, kept: np.ndarray, cost: np.ndarray, fit: n
     """
     begin = np.concatenate([[0], np.cumsum(kept)])[:-1]
     rows, keys, salts = [], [], seeds(sketches)
+    short_salts = (salts >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
     by_size = np.argsort(kept, kind="stable")
     by_size = by_size[kept[by_size] >= order]
     at = 0
@@ -114,9 +115,10 @@ def ordered_samples(mers: np.ndarray, kept: np.ndarray, cost: np.ndarray, fit: n
         token, late, ok = mers[place], cost[place], fit[place]
         late = np.where(np.arange(most) < kept[who][:, None], late, np.float32(np.inf))
         line = np.arange(len(who))[:, None]
+        short = (mixed(token) >> np.uint64(32)).astype(np.uint32)
         for r in range(sketches):
-            u = (mixed(token + salts[r]) >> np.uint64(40)).astype(np.float32)
-            priority = -np.log((u + np.float32(0.5)) * np.float32(2.0**-24)) * late
+            priority = (short * short_salts[r]).astype(np.float32)
+            priority *= late
             chosen = np.argpartition(priority, order - 1, axis=1)[:, :order] if most > order else np.broadcast_to(np.arange(order), (len(who), order))
             chosen = np.sort(chosen, axis=1)
             good = ok[line, chosen].all(1)
@@ -254,10 +256,8 @@ def classes(records: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]
     """
     kept = records.where("id is not null and block is not null and size(words) > 0")
     hashed = F.transform("words", lambda w: F.xxhash64(w))
-    own = F.sha2(F.concat_ws("\x1f", "block", F.array_sort(F.array_distinct("words"))), 256)
-    rows = kept.select("id", F.xxhash64("block").alias("block"), hashed.alias("words"), own.alias("_set"))
-    # 64 bits of the set's SHA-256 name a class
-    rows = rows.withColumn("cls", F.conv(F.substring("_set", 1, 16), 16, -10).cast("bigint")).drop("_set").distinct()
+    rows = kept.select("id", F.xxhash64("block").alias("block"), hashed.alias("words"))
+    rows = rows.withColumn("cls", F.xxhash64("block", F.array_sort(F.array_distinct("words")))).distinct()
     rows = scratch.write(rows, "records")
     named = rows.groupBy("cls").agg(F.min(F.struct("id", "block", "words")).alias("r"))
     named = named.select("cls", F.col("r.id").alias("name"), F.col("r.block").alias("block"), F.col("r.words").alias("words"))
