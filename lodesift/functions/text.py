@@ -48,8 +48,8 @@ def words_of(text: str | None) -> list[str]:
 
 
 def normalized(x: str | Column) -> Column:
-    """Trimmed, folded and with single spaces."""
-    return F.regexp_replace(F.replace(plain(x), F.lit("ß"), F.lit("ss")), r"\s+", " ")
+    """Trimmed, folded (sharp s, long s, final sigma and micro sign too) and with single spaces."""
+    return F.regexp_replace(F.replace(F.translate(plain(x), "ſςµ", "sσμ"), F.lit("ß"), F.lit("ss")), r"\s+", " ")
 
 
 def token_set(x: str | Column) -> Column:

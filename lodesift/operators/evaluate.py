@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 
 from lodesift.functions.protocol import PLACES, WITH_EVIDENCE
 from lodesift.operators.checks import Violation, repeated, strict
+from lodesift.session import beside
 
 INVALID = "INVALID"
 DETAILS = ("issue_subtype", "evidence", "p_issue_subtype", "p_evidence")
@@ -140,11 +141,7 @@ def whole_report(pairs: DataFrame, priors: dict[str, float], costs: dict[tuple[s
     rest = with_details(pairs).agg(
         F.avg(F.coalesce(F.col(valid), F.lit(False)).cast("int")).alias("parse_rate"), F.avg((F.coalesce(F.col(valid), F.lit(False)) & exact()).cast("int")).alias("exact_protocol_accuracy")
     )
-    parts = [report(pairs), type_macro_f1(pairs), risk(confusion(pairs), priors, costs), perception(pairs, there), rest]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.join(part)  # one row each
-    return out
+    return beside(report(pairs), type_macro_f1(pairs), risk(confusion(pairs), priors, costs), perception(pairs, there), rest)
 
 
 def counts_by(rows: DataFrame, by: tuple[str, ...]) -> DataFrame:
@@ -219,17 +216,15 @@ def accumulated_groups(groups: DataFrame, batch: str, key: str, size: int, most:
     groups: batch, key and kept.  Only a count for each batch is looked at one after the other.
     """
     counts = sorted((r[0], r[1]) for r in groups.groupBy(batch).agg(F.count_if("kept").alias("n")).collect())
-    updates, held, first, update = [], 0, None, 0
-    for place, (b, n) in enumerate(counts):
-        first = place if first is None else first
+    chosen, open_, held, update = [], [], 0, 0
+    for b, n in counts:
+        open_.append(b)
         held += n
-        if held >= size or place - first + 1 >= most:
-            updates.append((counts[first][0] if held >= size else b, b, update, held >= size))
-            held, first, update = 0, None, update + 1
-    if not updates:
-        return groups.select(F.lit(0).alias("update"), key).limit(0)
-    spark = groups.sparkSession
-    of = spark.createDataFrame(updates, f"_first {groups.schema[batch].dataType.simpleString()}, _last {groups.schema[batch].dataType.simpleString()}, update int, _filtered boolean")
-    met = groups.join(F.broadcast(of), (F.col(batch) >= F.col("_first")) & (F.col(batch) <= F.col("_last")) & (F.col("kept") | ~F.col("_filtered")))  # a row an update
+        if held >= size or len(open_) >= most:
+            chosen += [(o, update, True) for o in open_] if held >= size else [(b, update, False)]
+            open_, held, update = [], 0, update + 1
+    kind = groups.schema[batch].dataType.simpleString()
+    of = groups.sparkSession.createDataFrame(chosen, f"{batch} {kind}, update int, _filtered boolean")
+    met = groups.select(batch, key, "kept").join(of, batch).where(F.col("kept") | ~F.col("_filtered"))
     rank = F.row_number().over(Window.partitionBy("update").orderBy(batch, key))
     return met.withColumn("_rank", rank).where(F.col("_rank") <= size).select("update", key)

@@ -146,3 +146,26 @@ def lineage(stage: str = "dataset_stage", products: str = "source_product_ids",
     """Where a sample comes from; null where it names no product, no picture or no derived picture."""
     there = (F.size(F.filter(products, lambda x: x.isNotNull())) > 0) & (F.size(F.filter(images, lambda x: x.isNotNull())) > 0) & (F.col(derived) != "")
     return F.when(F.coalesce(there, F.lit(False)), F.struct(F.col(stage).alias("dataset_stage"), F.col(products).alias("source_product_ids"), F.col(images).alias("source_image_ids"), F.col(derived).alias("derived_image_id")))
+
+
+def short_enough(rows: DataFrame, size: Column, most: int, drop: bool = True) -> DataFrame:
+    """Rows whose prompt is of ``most`` tokens (or characters) at most; with drop=False a longer one is an error instead."""
+    long = ~F.coalesce(size <= most, F.lit(False))
+    if not drop:
+        strict(rows.where(long).select(size.alias("size")), f"prompts longer than {most}")
+        return rows
+    return rows.where(~long)
+
+
+def asset_paths(pictures: str, folder: str, role: str = "role", path: str = "high_resolution_path") -> Column:
+    """Map of role to path under the folder, of an array of pictures; of a role given twice the last one."""
+    entry = F.transform(pictures, lambda p: F.struct(p[role].alias("key"), F.concat(F.lit(f"{folder.rstrip('/')}/"), p[path]).alias("value")))
+    last = F.filter(entry, lambda e, i: ~F.exists(F.slice(entry, i + 2, F.size(entry)), lambda later: later["key"] == e["key"]))
+    return F.map_from_entries(last)
+
+
+def base_row(paths: str = "paths") -> list[Column]:
+    """The columns that every sample made of a record begins with."""
+    at = lambda r: F.struct(F.col(paths)[r].alias("image_id"))
+    images = F.struct(at("main").alias("main"), F.array(at("detail:1"), at("detail:2")).alias("detail"))
+    return [F.col("product_id").cast("string").alias("product_id"), *[F.col(c) for c in ("title", "category", "color", "material")], images.alias("images")]

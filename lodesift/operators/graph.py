@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodesift.functions.hashing import hamming
-from lodesift.session import Scratch, star_links
+from lodesift.session import Scratch, hot_keys, lookup, star_links
 
 
 def relation_links(rows: DataFrame, key: str, relations: list[str]) -> DataFrame:
@@ -52,8 +52,9 @@ def groups_of(links: DataFrame, rounds: int = 100) -> DataFrame:
     scratch = Scratch(links.sparkSession, "groups")
     both = scratch.write(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
     labels = scratch.write(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("group")), "labels")
+    hot = hot_keys(both.groupBy("b").agg(F.count("*").alias("n")), "b", "n")
     for _ in range(rounds):
-        told = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("group").alias("near"))
+        told = lookup(both, labels.withColumnRenamed("id", "b"), "b", hot=hot).groupBy(F.col("a").alias("id")).agg(F.min("group").alias("near"))
         nearer = labels.join(told, "id").select("id", F.least("group", "near").alias("group"), F.col("group").alias("old"))
         jumped = nearer.join(labels.select(F.col("id").alias("group"), F.col("group").alias("far")), "group", "left")
         after = scratch.write(jumped.select("id", F.least("group", "far").alias("group"), "old"), "labels")

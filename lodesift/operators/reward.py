@@ -73,6 +73,12 @@ def shifted_losses(tokens: DataFrame, by: str, order: list[str], mask: str, log_
     return rows.groupBy(by).agg(F.avg(-F.col(log_probability)).alias("loss"), masked_loss(F.col("_kept"), F.col(log_probability)).alias("masked_loss"))
 
 
+def whole_losses(losses: DataFrame, by: str) -> DataFrame:
+    """The losses of shifted_losses; a sequence whose mask keeps no token is an error."""
+    strict(losses.where("masked_loss is null").select(by), "no token is kept")
+    return losses
+
+
 def masked_loss(weight: Column, log_probability: Column) -> Column:
     """Aggregate: mean loss over the tokens that the mask keeps; null for an empty mask."""
     return F.try_divide(F.sum(weight * -log_probability), F.sum(weight))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodesift.functions.hashing import fraction, hex16
-from lodesift.session import Scratch, ranked
+from lodesift.session import Scratch, numbered, ranked
 
 
 def by_fraction(key: Column, shares: Sequence[tuple[str, float]]) -> Column:
@@ -57,9 +57,22 @@ def representatives(rows: DataFrame, component: str, size: Column, key: str) ->
     return rows.groupBy(component).agg(F.min_by(F.struct(*[c for c in rows.columns if c != component]), order).alias("r")).select(component, "r.*")
 
 
-def first_by(rows: DataFrame, order: Sequence[str], n: int) -> DataFrame:
-    """The first n rows, numbered from 1."""
+def first_seen_groups(rows: DataFrame, group: str, position: str) -> DataFrame:
+    """(group, first, place): each group once, with its first position and its place, from 0, among the groups in that order."""
+    first = rows.groupBy(group).agg(F.min(position).alias("first"))
+    return numbered(first, ["first", group], "place").select(group, "first", "place")
+
+
+def family_split(seed: int, family: Column, shares: Sequence[tuple[str, float]]) -> Column:
+    """The split of a record by its family, which is its component."""
+    return by_fraction(F.concat(F.lit(f"{seed}:"), family.cast("string")), shares)
+
+
+def first_by(rows: DataFrame, order: Sequence[str], n: int, exact: bool = False) -> DataFrame:
+    """The first n rows, numbered from 1; with ``exact`` fewer rows are an error."""
     top = rows.orderBy(*order).limit(n)
+    if exact and top.count() < n:
+        raise ValueError(f"fewer than {n} rows")
     return top.withColumn("number", F.row_number().over(Window.orderBy(*order)))
 
 

@@ -11,7 +11,7 @@ from lodesift.functions.hashing import bits64, fraction, hex16
 from lodesift.functions.text import family, filled, lexical_distance, mentions, one_value, plain, replace_phrase, token_set
 from lodesift.operators import checks, evaluate, graph, reward, split, synthesize
 from lodesift.plans.registry import HASH, PLAIN, QUERIES, SPACE, SQL, query, rounded
-from lodesift.session import table
+from lodesift.session import beside, table
 from lodesift.streaming.events import windowed
 
 COSTS = {("pass", "reject"): 0.75, ("reject", "pass"): 1.0}
@@ -369,4 +369,4 @@ def packing_sizes(spark, d):
     """Members of each target of the packing, which must be exact, and all components that it placed."""
     placed = exact_packing(spark, d).join(packing_components(spark, d).select("component_id", "n"), "component_id")
     sizes = placed.groupBy("target").agg(F.sum("n").alias("members"))
-    return sizes.join(placed.agg(F.count_distinct("component_id").alias("components")))
+    return beside(sizes, placed.agg(F.count_distinct("component_id").alias("components")))

@@ -126,3 +126,18 @@ def prompt_faults(spark, d):
 @query("""SELECT sample_id, export_batch, coalesce(len(list_filter(source_product_ids, lambda x: x IS NOT NULL)) > 0 AND len(list_filter(source_image_ids, lambda x: x IS NOT NULL)) > 0 AND derived_image_id <> '', false) AS whole FROM export_ids""")
 def lineages(spark, d):
     return table(spark, d, "export_ids").select("sample_id", "export_batch", exports.lineage().isNotNull().alias("whole"))
+
+
+@query("""WITH p AS (SELECT DISTINCT product_id, title FROM all_product) SELECT product_id FROM p WHERE length(title) <= 100""")
+def short_prompts(spark, d):
+    return exports.short_enough(table(spark, d, "all_product").select("product_id", "title").distinct(), F.length("title"), 100).select("product_id")
+
+
+@query("""SELECT DISTINCT product_id, title, 'set/' || images.main.image_id AS main, 'set/' || images.detail[1].image_id AS first_detail, 'set/' || images.detail[2].image_id AS second_detail FROM all_product""")
+def base_rows(spark, d):
+    role = lambda r, c: F.struct(F.lit(r).alias("role"), c.alias("high_resolution_path"))
+    detail = lambda n: F.get("images.detail", F.lit(n))["image_id"]
+    pictures = F.array(role("detail:1", detail(0)), role("main", F.col("images.main.image_id")), role("detail:2", detail(1)))
+    rows = table(spark, d, "all_product").withColumn("pictures", pictures).withColumn("paths", exports.asset_paths("pictures", "set/"))
+    made = rows.select(*exports.base_row())
+    return made.select("product_id", "title", F.col("images.main.image_id").alias("main"), F.get("images.detail", F.lit(0))["image_id"].alias("first_detail"), F.get("images.detail", F.lit(1))["image_id"].alias("second_detail")).distinct()

@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 from lodesift.functions import protocol, spans
 from lodesift.functions.hashing import fraction
 from lodesift.functions.text import normal_value
-from lodesift.operators import checks, evaluate, reward
+from lodesift.operators import checks, evaluate, reward, split
 from lodesift.plans.catalog import COSTS, DETAILED, PRIORS, RECORDS, records
 from lodesift.plans.exporting import IN
 from lodesift.plans.registry import HASH, query, rounded
-from lodesift.session import table
+from lodesift.session import beside, table
 
 
 def answered(spark, d):
@@ -66,7 +66,7 @@ def parse_rates(spark, d):
     of_rows = evaluate.parse_rate(given, "valid").toDF("of_rows")
     of_samples = evaluate.parse_rate(given, "valid", rows, "product_id").toDF("of_samples")
     n = evaluate.matched(rows, given, "product_id")
-    return rounded(of_rows.join(of_samples).withColumn("matched", F.lit(n).cast("bigint")))
+    return rounded(beside(of_rows, of_samples).withColumn("matched", F.lit(n).cast("bigint")))
 
 
 @query(f"""WITH {RECORDS} SELECT 'category' AS slice, category AS value, count(*) AS n FROM r WHERE category IS NOT NULL GROUP BY category UNION ALL SELECT 'violation_type', violation_type, count(*) FROM r GROUP BY violation_type""")
@@ -179,3 +179,14 @@ def asset_audit(spark, d):
         F.count("*").alias("n_rows"), F.count_distinct("image_id").alias("images"), (F.count("*") - F.count_distinct("image_id")).alias("repeated"), F.count_if(F.col("sha256").isNull()).alias("without_hash"),
         F.count_if(odd).alias("odd_sizes"), F.sum("bytes").alias("bytes"),
     )
+
+
+@query("""WITH f AS (SELECT user_id, min(event_id) AS first FROM events GROUP BY user_id) SELECT user_id, first, row_number() OVER (ORDER BY first, user_id) - 1 AS place FROM f""")
+def group_order(spark, d):
+    return split.first_seen_groups(table(spark, d, "events"), "user_id", "event_id")
+
+
+@query(f"""SELECT DISTINCT source_product_id, CASE WHEN {HASH.format("'42:' || source_product_id")} < 0.8 THEN 'train' WHEN {HASH.format("'42:' || source_product_id")} < 0.9 THEN 'validation' ELSE 'test' END AS split FROM all_product WHERE source_product_id IS NOT NULL""")
+def family_split(spark, d):
+    rows = table(spark, d, "all_product").where("source_product_id is not null").select("source_product_id").distinct()
+    return rows.select("source_product_id", split.family_split(42, F.col("source_product_id"), (("train", 0.8), ("validation", 0.1), ("test", 0.1))).alias("split"))

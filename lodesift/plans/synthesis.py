@@ -9,7 +9,7 @@ from lodesift.functions.text import filled, lexical_distance, plain, value_dista
 from lodesift.operators import synthesize
 from lodesift.plans.catalog import FAMILIES
 from lodesift.plans.registry import PLAIN, SPACE, query
-from lodesift.session import table
+from lodesift.session import beside, table
 
 SEP = r"(?:[\s_./\\,&:;()+\[\]–—-]+|\s+and\s+)"
 WORDS = "regexp_extract_all(lower({0}), '[a-z0-9]+')"
@@ -122,7 +122,7 @@ def allocation_counts(spark, d):
     """Records that have each label, and records with exactly three different ones."""
     found = allocation(spark, d)
     three = found.where(F.size(F.array_distinct("labels")) == 3).agg(F.count_distinct("product_id").alias("products"))
-    return found.select(F.explode("labels").alias("label")).groupBy("label").agg(F.count("*").alias("n")).join(three)
+    return beside(found.select(F.explode("labels").alias("label")).groupBy("label").agg(F.count("*").alias("n")), three)
 
 
 @query(f"""WITH r AS (SELECT DISTINCT product_id, category, color, material FROM all_product), a AS (SELECT product_id FROM r WHERE {SPACE.format('color')} <> '') SELECT 0::BIGINT AS wrong FROM (SELECT count(*) FROM a)""")

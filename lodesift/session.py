@@ -12,6 +12,8 @@ from pyspark.sql.window import Window
 
 #: A key that holds more than 1 / HOT_SHARE of all rows counts as hot; fewer than HOT_SHARE keys can.
 HOT_SHARE = 64
+#: Fewer rows than this fit one task whatever their keys.
+LEAST_ROWS = 100_000
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -83,21 +85,27 @@ def cached(df: DataFrame) -> DataFrame:
     return df.persist(StorageLevel.DISK_ONLY)
 
 
-def hot_keys(weights: DataFrame, key: str, weight: str, share: int = HOT_SHARE) -> list:
-    """Keys that hold more than 1/share of the total weight, by construction fewer than ``share`` of them."""
+def hot_keys(weights: DataFrame, key: str, weight: str, share: int = HOT_SHARE, least: int = LEAST_ROWS) -> list:
+    """Keys that hold more than 1/share of the total weight, by construction fewer than ``share`` of them.
+
+    Under ``least`` rows in all there is nothing to split, and none is hot; that changes the plan only.
+    """
     total = weights.agg(F.sum(weight)).first()[0] or 0
-    if total < 100_000:
+    if total < least:
         return []
     return [r[0] for r in weights.where(F.col(weight) > F.lit(total / share)).select(key).collect()]
 
 
-def lookup(rows: DataFrame, found: DataFrame, key: str, weight: str | None = None, how: str = "inner") -> DataFrame:
+def lookup(rows: DataFrame, found: DataFrame, key: str, weight: str | None = None, how: str = "inner", hot: list | None = None) -> DataFrame:
     """``rows`` joined with ``found`` (one row a key) on ``key`` so that no hot key meets in one task.
 
-    ``weight`` names the column of ``found`` with the number of rows a key has in ``rows``.  The hot keys,
-    fewer than HOT_SHARE rows, are broadcast; all other rows take an ordinary shuffled join.
+    ``weight`` names the column of ``found`` with the number of rows a key has in ``rows``, unless the ``hot`` keys are known.
+    These, fewer than HOT_SHARE rows, are broadcast; all other rows take an ordinary shuffled join.
     """
-    hot = hot_keys(found, key, weight) if weight else []
+    if hot is None and getattr(rows, "_lodesift_path", None) and rows.count() < LEAST_ROWS:
+        hot = []  # a written table's count is in its footers, so ``found`` need not run for it
+    if hot is None:
+        hot = hot_keys(found, key, weight) if weight else []
     if weight:
         found = found.drop(weight)
     if not hot:
@@ -150,3 +158,11 @@ def ranked(rows: DataFrame, by: list[str], key: str, name: str, seed: int = 0) -
     before = sizes.withColumn("_before", F.sum("_m").over(Window.partitionBy(*by).orderBy("_slice")) - F.col("_m")).drop("_m")
     own = F.row_number().over(Window.partitionBy(*by, "_slice").orderBy("_h", key)) - 1
     return rows.withColumn("_own", own).join(before, [*by, "_slice"]).withColumn(name, F.col("_own") + F.col("_before")).drop("_h", "_slice", "_own", "_before")
+
+
+def beside(first: DataFrame, *others: DataFrame) -> DataFrame:
+    """``first`` with the columns of tables of one row each, as scalar subqueries."""
+    out = first
+    for i, other in enumerate(others):
+        out = out.withColumn(f"_{i}", other.select(F.struct(*other.columns)).scalar())
+    return out.select(*first.columns, *[f"_{i}.{c}" for i, other in enumerate(others) for c in other.columns])

@@ -11,7 +11,7 @@ from lodesift.functions import listing, protocol, spans, title
 from lodesift.functions.text import flat_references, references_in
 from lodesift.operators import checks, curate, evaluate, exports, reward, split, synthesize
 from lodesift.session import lookup, numbered, ranked
-from lodesift.sources import files, manifests
+from lodesift.sources import files, manifests, pictures
 
 
 def one(spark, column):
@@ -272,3 +272,39 @@ def test_caps_and_turns(spark):
         split.capped_round_robin(rows, "g", "k", 2, 5)
     places = rows.select("k", synthesize.turn([F.col("k")], ("x", "y"), [], apart=2).alias("t")).orderBy("k").collect()
     assert [r["t"] for r in places][:4] == ["x", "x", "y", "y"]
+
+
+def png(width, height):
+    import struct
+    import zlib
+
+    chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(b"\0" * (width + 1) * height)) + chunk(b"IEND", b"")
+
+
+def test_picture_files(spark, tmp_path):
+    whole = png(20, 10)
+    jpeg = b"\xff\xd8\xff\xe0\x00\x04ab\xff\xc0\x00\x0b\x08\x00\x07\x00\x09\x01\x01\x11\x00\xff\xda\x00\x02xx\xff\xd9"
+    assert pictures.picture_facts(whole) == ("png", 20, 10, True) and pictures.picture_facts(whole[:-6])[3] is False
+    assert pictures.picture_facts(jpeg) == ("jpeg", 9, 7, True) and pictures.picture_facts(jpeg[:-2])[3] is False
+    assert pictures.picture_facts(None) == pictures.picture_facts(b"text") == (None, None, None, False)
+    for name, data in (("a.png", whole), ("b.png", whole[:40]), ("c.png", png(3, 3))):
+        (tmp_path / name).write_bytes(data)
+    facts = pictures.read_facts(spark, str(tmp_path)).withColumn("path", F.substring_index("path", "/", -1))
+    named = spark.createDataFrame([("s1", "a.png"), ("s2", "a.png"), ("s3", "b.png"), ("s4", "gone.png"), ("s5", "c.png"), ("s6", None)], "sample_id string, path string")
+    known = spark.createDataFrame([("a.png", 20, 10), ("c.png", 4, 3)], "path string, width int, height int")
+    assert {tuple(r) for r in pictures.picture_faults(named, facts, "sample_id", "path", known).collect()} == {("s3", "b.png", "broken"), ("s4", "gone.png", "missing"), ("s5", "c.png", "size")}
+
+
+def test_limits_and_losses(spark):
+    rows = spark.createDataFrame([("a", "xx"), ("b", None), ("c", "xxxxx")], "k string, t string")
+    assert [r["k"] for r in exports.short_enough(rows, F.length("t"), 3).collect()] == ["a"]
+    with pytest.raises(checks.Violation):
+        exports.short_enough(rows, F.length("t"), 3, drop=False)
+    with pytest.raises(ValueError):
+        split.first_by(rows, ["k"], 4, exact=True)
+    tokens = spark.createDataFrame([("a", 1, 1, -2.0), ("a", 2, 0, -4.0), ("b", 1, 0, -1.0)], "k string, n int, m int, lp double")
+    losses = reward.shifted_losses(tokens, "k", ["n"], "m", "lp")
+    assert {tuple(r) for r in losses.collect()} == {("a", 3.0, 4.0), ("b", 1.0, None)}
+    with pytest.raises(checks.Violation):
+        reward.whole_losses(losses, "k")
