@@ -96,9 +96,16 @@ def document_ids(spark, sf_dir: str) -> DataFrame:
     return encode_texts(table(spark, sf_dir, "documents"))
 
 
-def token_counts(spark, sf_dir: str) -> DataFrame:
-    """Documents, tokens and bytes of each language label."""
+def byte_counts(spark, sf_dir: str) -> DataFrame:
+    """Documents and bytes of each language label, the bytes being those that the ids decode to."""
     docs = table(spark, sf_dir, "documents").withColumn("key", F.to_json(F.struct("doc_id", "lang"), {"ignoreNullFields": "false"}))
-    back = decode_ids(encode_texts(docs, "key"), "key").select("key", F.octet_length("raw").alias("n_bytes"))
+    back = decode_ids(encode_texts(docs, "key"), "key").select("key", F.octet_length("raw").cast("bigint").alias("n_bytes"))
     lang = F.get_json_object("key", "$.lang").alias("lang")
     return back.groupBy(lang).agg(F.count("*").alias("n_docs"), F.sum("n_bytes").alias("n_bytes"))
+
+
+def token_counts(spark, sf_dir: str) -> DataFrame:
+    """Documents and tokens of each language label."""
+    docs = table(spark, sf_dir, "documents").withColumn("key", F.to_json(F.struct("doc_id", "lang"), {"ignoreNullFields": "false"}))
+    ids = encode_texts(docs, "key").select("key", F.size("ids").alias("n"))
+    return ids.groupBy(F.get_json_object("key", "$.lang").alias("lang")).agg(F.count("*").alias("n_docs"), F.sum("n").alias("n_tokens"))

@@ -359,7 +359,7 @@ def verified(rows: DataFrame, key: str, item_key: str) -> DataFrame:
 
 def item_words(items: DataFrame, item_key: str, item_text: str) -> DataFrame:
     """(item_key, words): the hashed words of every item of RUN words or more, once each."""
-    rows = items.where(F.col(item_text).isNotNull() & F.col(item_key).isNotNull()).select(item_key, F.col(item_text).alias("_text")).distinct()
+    rows = items.where(F.col(item_text).isNotNull() & F.col(item_key).isNotNull()).select(item_key, item_text).distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -375,19 +375,20 @@ def item_words(items: DataFrame, item_key: str, item_text: str) -> DataFrame:
 def leaked_items(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
     """(key, item_key): every document with the items of which it holds a passage."""
     scratch = Scratch(docs.sparkSession, "leakage")
-    docs = docs.where(F.col(text).isNotNull() & F.col(key).isNotNull()).select(key, text)
-    words = scratch.write(item_words(items, item_key, item_text), "items")
-    rows = scratch.write(window_rows(words, item_key), "windows")
+    docs = docs.where(F.col(text).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("_doc"), F.col(text).alias("_text"))
+    items = items.select(F.col(item_key).alias("_item"), F.col(item_text).alias("_text"))
+    words = scratch.write(item_words(items, "_item", "_text"), "items")
+    rows = scratch.write(window_rows(words, "_item"), "windows")
     # where no item has the length of a size, nothing of that size is looked for
     smallest = {r["size"]: r["least"] for r in rows.groupBy("size").agg(F.min("least").alias("least")).collect()}
     least = {s[0]: smallest.get(k, 1 << 40) for k, s in enumerate(SIZES)}
-    known = shingle_counts(rows, item_key)
-    index = scratch.write(item_bands(rows, item_key, known), "bands")
+    known = shingle_counts(rows, "_item")
+    index = scratch.write(item_bands(rows, "_item", known), "bands")
     wanted = bits_of(index, "key", index.count(), BITS)
-    met = document_bands(docs, key, text, known, wanted, least).join(index, "key")
-    places = scratch.write(met.select(key, "place", item_key).distinct(), "places")
-    rows = stretches(docs, places, key, text, item_key).join(words, item_key)
-    return verified(rows, key, item_key).distinct()
+    met = document_bands(docs, "_doc", "_text", known, wanted, least).join(index, "key")
+    places = scratch.write(met.select("_doc", "place", "_item").distinct(), "places")
+    parts = stretches(docs, places, "_doc", "_text", "_item").join(words, "_item")
+    return verified(parts, "_doc", "_item").distinct().toDF(key, item_key)
 
 
 def benchmark_leaks(spark, sf_dir: str) -> DataFrame:

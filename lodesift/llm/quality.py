@@ -6,8 +6,9 @@ of the lines of a bounded sample of labelled documents; a component's kind is th
 it is most frequent.  A document's lines are then read as a run of prose and other passages that change rarely:
 the most probable run gives the characters of each kind.
 
-Fitting takes at most ``sample`` labelled documents, those of the smallest id hashes; scoring reads every document
-whole, in Arrow batches and without a shuffle.
+Fitting takes the statistics of at most ``sample`` labelled documents, those of the smallest id hashes, and of at most
+LINES lines of each, evenly spread; they are computed where the documents are.  Scoring reads every document whole, in
+Arrow batches and without a shuffle.
 
 Statistics of whole texts come from the same counts.
 
@@ -32,6 +33,8 @@ from lodesift.session import table
 KINDS = ("prose", "list", "table", "junk")
 #: Most labelled documents that the mixture is fitted to.
 SAMPLE = 2_000
+#: Most lines of a labelled document that the mixture is fitted to.
+LINES = 200
 COMPONENTS = 40
 STARTS = 3
 #: Share of a component's text in documents labelled prose from which on the component is prose.
@@ -194,9 +197,8 @@ class Mixture:
 class Reader:
     """A fitted mixture with its components' kinds; reads texts."""
 
-    def __init__(self, texts: list[str], kinds: list[str], common: CommonWords):
+    def __init__(self, stats: list[tuple[list[list[float]], list[int]]], kinds: list[str], common: CommonWords):
         self.common = common
-        stats = [line_statistics(t, common) for t in texts]
         x = scaled(np.array([r for rows, _ in stats for r in rows]))
         kind = np.repeat([KINDS.index(k) for k in kinds], [len(rows) for rows, _ in stats])
         chars = np.array([c for _, cs in stats for c in cs], float)
@@ -230,6 +232,11 @@ class Reader:
         return out
 
 
+def reader_of(texts: list[str], kinds: list[str], common: CommonWords) -> Reader:
+    """A reader fitted to whole texts."""
+    return Reader([line_statistics(t, common) for t in texts], kinds, common)
+
+
 def likely_run(odds: list[float]) -> list[bool]:
     """The most probable sequence of prose and other lines, given each line's log odds for prose."""
     if not odds:
@@ -249,16 +256,32 @@ def likely_run(odds: list[float]) -> list[bool]:
     return out[::-1]
 
 
-def fitted(docs: DataFrame, labels: DataFrame, common: DataFrame, sample: int = SAMPLE) -> Reader:
-    """A reader fitted to at most ``sample`` labelled documents; the common words are a small list."""
+def fitted(docs: DataFrame, labels: DataFrame, common: DataFrame, sample: int = SAMPLE, lines: int = LINES) -> Reader:
+    """A reader fitted to at most ``sample`` labelled documents and ``lines`` lines of each; the common words are a small list."""
     order = F.xxhash64("doc_id")
     known = labels.where(F.col("kind").isin(*KINDS) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("kind").alias("kind"))
     chosen = known.orderBy(order, "doc_id").limit(sample)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").where("text is not null").select("doc_id", "kind", "text").collect()
-    rows = sorted((r for r in rows if r[2].strip()), key=lambda r: r[0])
-    if not rows:
+    words = common_words(common)
+    held = docs.sparkSession.sparkContext.broadcast(words)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            stats, chars = [], []
+            for text in batch.column("text").to_pylist():
+                rows, sizes = line_statistics(text, held.value)
+                kept = sorted({round(k) for k in np.linspace(0, len(rows) - 1, min(lines, len(rows)))})
+                stats.append([float(x) for k in kept for x in rows[k]])
+                chars.append([sizes[k] for k in kept])
+            columns = [batch.column("doc_id"), batch.column("kind"), pa.array(stats, pa.list_(pa.float64())), pa.array(chars, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "kind", "stats", "chars"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").where("text is not null").select("doc_id", "kind", "text")
+    found = rows.mapInArrow(run, f"doc_id {kind}, kind string, stats array<double>, chars array<bigint>").where("size(chars) > 0").collect()
+    if not found:
         raise ValueError("no labelled documents to fit to")
-    return Reader([r[2] for r in rows], [r[1] for r in rows], common_words(common))
+    found = sorted(found, key=lambda r: (r["doc_id"], r["kind"]))
+    return Reader([(np.array(r["stats"]).reshape(-1, len(FEATURES)).tolist(), r["chars"]) for r in found], [r["kind"] for r in found], words)
 
 
 def common_words(common: DataFrame) -> CommonWords:

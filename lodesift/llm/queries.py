@@ -38,11 +38,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p5_groups": near.product_groups,
     "p6_found": splits.parted_samples,
     "p6_splits": splits.export_splits,
+    "p6_forest": splits.export_forest,
+    "p6_report": splits.split_report,
     "p7_sample": stable_sample.export_sample,
     "p7_components": stable_sample.component_sample,
     "p7_at_once": stable_sample.whole_sample,
     "p8_ids": encode.document_ids,
-    "p8_bytes": encode.token_counts,
+    "p8_bytes": encode.byte_counts,
+    "p8_tokens": encode.token_counts,
     "p9_found": leakage.benchmark_leaks,
     "p10_found": quality.poor_documents,
     "p10_passages": quality.document_passages,
@@ -90,6 +93,13 @@ list_distinct(list_concat(regexp_extract_all(lower(title), '[a-z0-9]+'), list_fi
 FROM all_product WHERE category IS NOT NULL AND title IS NOT NULL AND {PLAIN.format('title')} <> '')
 SELECT DISTINCT x.product_id AS product_id_a, y.product_id AS product_id_b FROM f x JOIN f y ON x.c = y.c AND x.product_id < y.product_id
 WHERE 10 * len(list_intersect(x.f, y.f)) >= 6 * (len(x.f) + len(y.f) - len(list_intersect(x.f, y.f)))""",
+    "p5_groups": f"""WITH RECURSIVE f AS (SELECT DISTINCT product_id, {PLAIN.format('category')} AS c,
+list_sort(list_distinct(list_concat(regexp_extract_all(lower(title), '[a-z0-9]+'), list_filter(list_concat([images.main.image_id], list_transform(images.detail, lambda x: x.image_id)), lambda x: x IS NOT NULL)))) AS f
+FROM all_product WHERE category IS NOT NULL AND title IS NOT NULL AND {PLAIN.format('title')} <> ''), k AS (SELECT c, f, min(product_id) AS name, count(*) AS n FROM f WHERE len(f) > 0 GROUP BY c, f),
+e AS (SELECT x.name AS a, y.name AS b FROM k x JOIN k y ON x.c = y.c AND x.name <> y.name WHERE 10 * len(list_intersect(x.f, y.f)) >= 6 * (len(x.f) + len(y.f) - len(list_intersect(x.f, y.f)))),
+r(x, y) AS (SELECT a, b FROM e UNION SELECT r.x, e.b FROM r JOIN e ON r.y = e.a), g AS (SELECT x, least(x, min(y)) AS g FROM r GROUP BY x), l AS (SELECT a, count(*) AS l FROM e GROUP BY a)
+SELECT product_id, coalesce(g, name) AS group_id, coalesce(l, 0)::BIGINT AS links FROM f JOIN k USING (c, f) LEFT JOIN g ON g.x = name LEFT JOIN l ON l.a = name WHERE g IS NOT NULL OR n > 1""",
+    "p8_bytes": "SELECT lang, count(*) AS n_docs, sum(coalesce(strlen(text), 0))::BIGINT AS n_bytes FROM documents GROUP BY lang",
     "p6_found": f"""WITH RECURSIVE {LINKED}, {PICTURES}, g AS (SELECT x AS i, min(y) AS g FROM r1 GROUP BY x),
 o AS (SELECT DISTINCT sample_id, unnest(source_product_ids) AS p FROM export_ids WHERE sample_id IS NOT NULL),
 keys AS (SELECT sample_id, 'p' || p AS k FROM o WHERE p IS NOT NULL UNION SELECT sample_id, 's' || picture FROM pics

@@ -20,7 +20,7 @@ from pyspark.sql.window import Window
 
 from lodesift.llm.components import compose, product_groups
 from lodesift.llm.pictures import latest_samples, named_pictures, split_name
-from lodesift.session import Scratch, lookup, star_links, table
+from lodesift.session import Scratch, beside, lookup, star_links, table
 
 MAX_ROUNDS = 200
 JUMPS = 2
@@ -147,3 +147,20 @@ def export_splits(spark, sf_dir: str) -> DataFrame:
     """(sample_id, group_id, split): new splits in the given proportions that part no related samples."""
     samples, rooted = export_trees(spark, sf_dir)
     return dealt(samples.select(F.col("sample_id").alias("id")), rooted).select(F.col("id").alias("sample_id"), F.col("root").alias("group_id"), "split")
+
+
+def export_forest(spark, sf_dir: str) -> DataFrame:
+    """(a, b, weight): the links of the spanning forest over the samples; weight tells a common product, picture or group of products."""
+    samples = Scratch(spark, "splits").write(latest_samples(spark, sf_dir), "samples")
+    return spanning_forest(sample_links(spark, sf_dir, samples))[0]
+
+
+def split_report(spark, sf_dir: str) -> DataFrame:
+    """(split, wanted, samples, share, parted): what each new split was to have and has, and the groups that stand in several splits."""
+    found = Scratch(spark, "splits").write(export_splits(spark, sf_dir), "found")
+    parted = found.groupBy("group_id").agg(F.count_distinct("split").alias("n")).agg(F.count_if(F.col("n") > 1).alias("parted"))
+    wanted = spark.createDataFrame(list(PROPORTIONS), "split string, wanted double")
+    sizes = found.groupBy("split").agg(F.count("*").alias("samples"))
+    total = found.agg(F.count("*").alias("all"))
+    out = beside(wanted.join(sizes, "split", "left"), total, parted)
+    return out.select("split", "wanted", F.coalesce("samples", F.lit(0)).alias("samples"), F.try_divide(F.coalesce("samples", F.lit(0)), F.col("all")).alias("share"), "parted")

@@ -202,7 +202,7 @@ def sample_texts(n, rng):
 def test_reader_tells_kinds_apart():
     rng = random.Random(0)
     fit, held = sample_texts(40, rng), sample_texts(20, rng)
-    reader = quality.Reader([t for t, _ in fit], [k for _, k in fit], COMMON)
+    reader = quality.reader_of([t for t, _ in fit], [k for _, k in fit], COMMON)
     chars = reader.passages([t for t, _ in held])
     right = [(row[0] > row[1:].sum()) == (k == "prose") for row, (_, k) in zip(chars, held, strict=True)]
     assert np.mean(right) >= 0.95
@@ -212,7 +212,7 @@ def test_reader_tells_kinds_apart():
 
 def test_passages_of_a_table(spark):
     fit = sample_texts(30, random.Random(1))
-    reader = quality.Reader([t for t, _ in fit], [k for _, k in fit], COMMON)
+    reader = quality.reader_of([t for t, _ in fit], [k for _, k in fit], COMMON)
     rows = spark.createDataFrame([(1, PROSE), (1, PROSE), (2, None), (3, " "), (4, PROSE * 3000)], "doc_id long, text string").withColumn("prose", F.lit(0))
     got = [tuple(r) for r in quality.passages(rows, reader).orderBy("doc_id").collect()]
     assert [g[0] for g in got] == [1, 1, 2, 3, 4] and got[2][1:] == (0, 0, 0, 0, 0) and got[3][1] == 1
@@ -221,6 +221,17 @@ def test_passages_of_a_table(spark):
         quality.fitted(rows, spark.createDataFrame([], "doc_id long, kind string"), spark.createDataFrame([], "word string"))
 
 
+def test_fitting_is_bounded_and_reads_labels(spark):
+    rows = [(i, t * 40 if i == 0 else t, k) for i, (t, k) in enumerate(sample_texts(30, random.Random(3)))]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(900, None), (901, " ")], "doc_id long, text string").withColumn("kind2", F.lit(1))
+    labels = spark.createDataFrame([(i, k) for i, _, k in rows] + [(900, "junk"), (901, "prose"), (None, "prose"), (5, "odd"), (777, "list")], "doc_id long, kind string")
+    words = spark.createDataFrame([(w,) for w in COMMON.words] + [(None,)], "word string")
+    reader = quality.fitted(docs, labels, words, lines=7)
+    held = sample_texts(20, random.Random(4))
+    chars = reader.passages([t for t, _ in held])
+    assert np.mean([(row[0] > row[1:].sum()) == (k == "prose") for row, (_, k) in zip(chars, held, strict=True)]) >= 0.9
+
+
 def test_likely_run_bridges_single_lines():
     assert quality.likely_run([9, 9, -3, 9, 9]) == [True] * 5
     assert quality.likely_run([9, 9, -9, -9, -9]) == [True, True, False, False, False]
