@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lodesift.functions.protocol import KEYS
 
-#: Weight of a field's tokens in a weighted mask.
+#: Weight of a field's tokens in a weighted mask; the fields and the form of their values are those of the answer format.
 FIELD_WEIGHTS = {"decision": 1.0, "violation_type": 1.5, "issue_subtype": 1.5}
 
 

@@ -171,7 +171,8 @@ def resampled(rows: DataFrame, key: str, product: str, label: str, quotas: dict[
     quota = F.lit(0)
     for name, n in quotas.items():
         quota = F.when(F.col(label) == name, F.lit(n)).otherwise(quota)
-    return few.withColumn("_n", F.row_number().over(Window.partitionBy(label).orderBy("_h", key))).where(F.col("_n") <= quota).drop("_h", "_n")
+    # the largest quota as a literal lets Spark cut each task's rows of a label before they are shuffled
+    return few.withColumn("_n", F.row_number().over(Window.partitionBy(label).orderBy("_h", key))).where(F.col("_n") <= max(quotas.values(), default=0)).where(F.col("_n") <= quota).drop("_h", "_n")
 
 
 def duplicated_detail(images: str = "images") -> Column:

@@ -14,6 +14,7 @@ from lodesift.plans.registry import HASH, PLAIN, QUERIES, SPACE, SQL, query, rou
 from lodesift.session import beside, table
 from lodesift.streaming.events import windowed
 
+#: Cost of a wrong decision and share of each decision in use.
 COSTS = {("pass", "reject"): 0.75, ("reject", "pass"): 1.0}
 NONE = "~"
 PRIORS = {"pass": 0.6, "reject": 0.4}
