@@ -75,7 +75,7 @@ def smallest_member(assigned: DataFrame) -> DataFrame:
     return lookup(assigned, groups, "c", "n").select(F.col("v").alias("id"), "group")
 
 
-def connected_groups(links: DataFrame, a: str = "a", b: str = "b", beta: float = 0.15, hops: int = 2) -> DataFrame:
+def connected_groups(links: DataFrame, a: str = "a", b: str = "b", beta: float = 0.02, hops: int = 3) -> DataFrame:
     """(id, group): every id that a link holds, with the smallest id linked with it directly or indirectly.
 
     beta: rate of the shifts; smaller values give larger clusters.  hops: growth steps a level.

@@ -20,7 +20,7 @@ from pyspark.sql.window import Window
 
 from lodesift.llm.components import compose, product_groups
 from lodesift.llm.pictures import latest_samples, named_pictures, split_name
-from lodesift.session import Scratch, beside, lookup, star_links, table
+from lodesift.session import LEAST_ROWS, Scratch, beside, lookup, star_links, table
 
 MAX_ROUNDS = 200
 JUMPS = 2
@@ -43,7 +43,9 @@ def round_of(links: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
         up = scratch.write(up, "up")
         fans = up.groupBy("c").agg(F.count("*").alias("n"))
         above = fans.join(up.select(F.col("v").alias("c"), F.col("c").alias("top")), "c")
-        up = lookup(up, scratch.write(above, "above"), "c", "n").select("v", F.col("top").alias("c"))
+        # a table that is looked through for hot keys is written first, so that it runs once
+        above = above if up.count() < LEAST_ROWS else scratch.write(above, "above")
+        up = lookup(up, above, "c", "n").select("v", F.col("top").alias("c"))
     return picks, scratch.write(up, "trees")
 
 
