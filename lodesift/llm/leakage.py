@@ -172,10 +172,9 @@ def window_rows(items: DataFrame, item_key: str) -> DataFrame:
     return items.select(item_key, "words").mapInArrow(run, f"{item_key} {items.schema[item_key].dataType.simpleString()}, size int, shingles array<bigint>, least bigint")
 
 
-def shingle_counts(rows: DataFrame, item_key: str) -> ShingleCounts:
-    """The counts of all items' shingles, 64 counters for each."""
+def shingle_counts(rows: DataFrame, item_key: str, n: int) -> ShingleCounts:
+    """The counts of all items' shingles, 64 counters for each of n."""
     flat_rows = rows.select(item_key, F.explode("shingles").alias("h")).distinct()
-    n = flat_rows.count()
     size = 1 << int(min(COUNTERS, max(12, int(64 * n).bit_length())))
 
     def add(own: np.ndarray, batch: pa.RecordBatch) -> None:
@@ -380,9 +379,9 @@ def leaked_items(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
     words = scratch.write(item_words(items, "_item", "_text"), "items")
     rows = scratch.write(window_rows(words, "_item"), "windows")
     # where no item has the length of a size, nothing of that size is looked for
-    smallest = {r["size"]: r["least"] for r in rows.groupBy("size").agg(F.min("least").alias("least")).collect()}
-    least = {s[0]: smallest.get(k, 1 << 40) for k, s in enumerate(SIZES)}
-    known = shingle_counts(rows, "_item")
+    found = {r["size"]: r for r in rows.groupBy("size").agg(F.min("least").alias("least"), F.sum(F.size("shingles")).alias("n")).collect()}
+    least = {s[0]: found[k]["least"] if k in found else 1 << 40 for k, s in enumerate(SIZES)}
+    known = shingle_counts(rows, "_item", sum(r["n"] for r in found.values()))
     index = scratch.write(item_bands(rows, "_item", known), "bands")
     wanted = bits_of(index, "key", index.count(), BITS)
     met = document_bands(docs, "_doc", "_text", known, wanted, least).join(index, "key")

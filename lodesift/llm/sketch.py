@@ -65,7 +65,7 @@ def merged(rows: DataFrame, columns: list[str], size: int, dtype: type, add: Cal
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["at", "held"])
 
     out = np.zeros(size, dtype)
-    for r in rows.select(*columns).mapInArrow(run, "at bigint, held binary").groupBy("at").applyInArrow(joined, "at bigint, held binary").toLocalIterator():
+    for r in rows.select(*columns).mapInArrow(run, "at bigint, held binary").groupBy("at").applyInArrow(joined, "at bigint, held binary").collect():
         piece = np.frombuffer(bytes(r["held"]), dtype)
         out[r["at"] : r["at"] + len(piece)] = piece
     return out
