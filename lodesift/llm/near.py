@@ -41,7 +41,7 @@ THRESHOLD = 0.6
 SKETCHES, ORDER, K = 64, 2, 1
 #: A k-mer counts as frequent from FREQUENT times the square root of the block's records on; its weight falls with this power.
 FREQUENT, POWER = 6.0, 1.3
-#: At most 2 ** COUNTERS counters of four bytes.
+#: At most 2 ** COUNTERS counters of two bytes.
 COUNTERS = 24
 CHUNK = 1 << 18  # padded places handled at once
 ONE = np.uint64(1)
@@ -66,17 +66,20 @@ def labelled(words: np.ndarray, sizes: np.ndarray, k: int = K) -> tuple[np.ndarr
 
 
 class Counts:
-    """A count-min sketch with one row: never too low."""
+    """A count-min sketch with one row: never too low, at most MOST."""
+
+    MOST = 65_535
 
     def __init__(self, bits: int, counters: np.ndarray | None = None):
         self.bits = bits
-        self.counters = np.zeros(1 << bits, np.uint32) if counters is None else counters
+        self.counters = np.zeros(1 << bits, np.uint16) if counters is None else counters
 
     def places(self, block: np.ndarray, mers: np.ndarray) -> np.ndarray:
         return (mixed(block * np.uint64(5) ^ mers) >> np.uint64(64 - self.bits)).astype(np.int64)
 
     def add(self, places: np.ndarray) -> None:
-        np.add.at(self.counters, places, np.uint32(1))
+        at, n = np.unique(places, return_counts=True)
+        self.counters[at] = np.minimum(self.MOST, self.counters[at] + n)
 
     def of(self, places: np.ndarray) -> np.ndarray:
         return self.counters[places]
@@ -90,8 +93,8 @@ def counted(sets: DataFrame, k: int, bits: int) -> Counts:
         counts = Counts(bits, own)
         counts.add(counts.places(np.repeat(unsigned(batch.column("block")), kept), mers))
 
-    capped = lambda x, y: np.minimum(x.astype(np.uint64) + y, 2**32 - 1).astype(np.uint32)
-    return Counts(bits, merged(sets, ["block", "words"], 1 << bits, np.uint32, add, capped))
+    capped = lambda x, y: np.minimum(x.astype(np.int64) + y, Counts.MOST).astype(np.uint16)
+    return Counts(bits, merged(sets, ["block", "words"], 1 << bits, np.uint16, add, capped))
 
 
 def ordered_samples(mers: np.ndarray, kept: np.ndarray, cost: np.ndarray, fit: np.ndarray, block: np.ndarray, sketches: int, order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -117,7 +120,10 @@ def ordered_samples(mers: np.ndarray, kept: np.ndarray, cost: np.ndarray, fit: n
         line = np.arange(len(who))[:, None]
         short = (mixed(token) >> np.uint64(32)).astype(np.uint32)
         for r in range(sketches):
-            priority = (short * short_salts[r]).astype(np.float32)
+            level = short * short_salts[r]
+            level ^= level >> np.uint32(15)
+            level *= np.uint32(0x2C1B3C6D)
+            priority = level.astype(np.float32)
             priority *= late
             chosen = np.argpartition(priority, order - 1, axis=1)[:, :order] if most > order else np.broadcast_to(np.arange(order), (len(who), order))
             chosen = np.sort(chosen, axis=1)
@@ -131,7 +137,7 @@ def ordered_samples(mers: np.ndarray, kept: np.ndarray, cost: np.ndarray, fit: n
 
 
 def buckets(sets: DataFrame, sketches: int, order: int, k: int) -> DataFrame:
-    """(key, cls, n, low, high): a row for each sample of each class, with its number of features and bit signature.
+    """(key, cls, n, bits): a row for each sample of each class, with its number of features and bit signature.
 
     sets: cls and block as bigint, words as array<bigint> in text order.
     """
@@ -151,27 +157,24 @@ def buckets(sets: DataFrame, sketches: int, order: int, k: int) -> DataFrame:
             cost = np.maximum(often, np.repeat(FREQUENT * np.sqrt(records), kept)) ** POWER
             rows, keys = ordered_samples(mers, kept, cost.astype(np.float32), often > 1, block, sketches, order)
             single, ones, first = labelled(words, size, 1)
-            low, high, n = signatures(single, ones, first)
-            columns = [keys.view(np.int64), unsigned(batch.column("cls"))[rows].view(np.int64), n[rows].astype(np.int32), low[rows].view(np.int64), high[rows].view(np.int64)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "cls", "n", "low", "high"])
+            signature, n = signatures(single, ones, first)
+            columns = [keys.view(np.int64), unsigned(batch.column("cls"))[rows].view(np.int64), n[rows].astype(np.int32), signature[rows].view(np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "cls", "n", "bits"])
 
     # the blocks' sizes are left to Spark's own size check: a row a block
-    return sets.join(sizes, "block").select("cls", "block", "records", "words").mapInArrow(run, "key bigint, cls bigint, n int, low bigint, high bigint")
+    return sets.join(sizes, "block").select("cls", "block", "records", "words").mapInArrow(run, "key bigint, cls bigint, n int, bits bigint")
 
 
-def signatures(words: np.ndarray, kept: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """128 bits of each record in two halves, a bit for each different word, and the number of those.
+def signatures(words: np.ndarray, kept: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64 bits of each record, a bit flipped for each different word, and the number of those.
 
     Two records' signatures differ in at most as many bits as they have features that the other lacks.
     """
     owner = np.repeat(np.arange(len(kept)), kept)[number == 0]
-    h = mixed(words[number == 0] + np.uint64(77))
-    bit = np.left_shift(ONE, h & np.uint64(63))
-    upper = (h >> np.uint64(6)) & ONE == ONE
-    low, high = np.zeros(len(kept), np.uint64), np.zeros(len(kept), np.uint64)
-    np.bitwise_or.at(low, owner[~upper], bit[~upper])
-    np.bitwise_or.at(high, owner[upper], bit[upper])
-    return low, high, np.bincount(owner, minlength=len(kept))
+    bit = np.left_shift(ONE, mixed(words[number == 0] + np.uint64(77)) & np.uint64(63))
+    out = np.zeros(len(kept), np.uint64)
+    np.bitwise_xor.at(out, owner, bit)
+    return out, np.bincount(owner, minlength=len(kept))
 
 
 def needed(n_a, n_b, threshold: float):
@@ -181,8 +184,8 @@ def needed(n_a, n_b, threshold: float):
 
 def candidates(rows: DataFrame, threshold: float) -> DataFrame:
     """(a, b), a < b: classes of one bucket whose signatures allow the threshold; hot buckets are left to AQE's skew split."""
-    end = lambda name: rows.select("key", *[F.col(c).alias(f"{c}_{name}") for c in ("cls", "n", "low", "high")])
-    apart = F.bit_count(F.col("low_a").bitwiseXOR(F.col("low_b"))) + F.bit_count(F.col("high_a").bitwiseXOR(F.col("high_b")))
+    end = lambda name: rows.select("key", *[F.col(c).alias(f"{c}_{name}") for c in ("cls", "n", "bits")])
+    apart = F.bit_count(F.col("bits_a").bitwiseXOR(F.col("bits_b")))
     total = F.col("n_a") + F.col("n_b")
     most = total - 2 * F.ceil(total * F.lit(threshold / (1 + threshold)) - F.lit(1e-9))
     met = end("a").join(end("b"), "key").where("cls_a < cls_b").where(apart <= most)
