@@ -24,6 +24,7 @@ only as a whole run; a repeated item or document has a row for each id; texts ar
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -56,22 +57,31 @@ CHUNK, REMEMBERED, PART = 16_384, 1_000_000, 1_000
 NONE = np.float32(np.inf)
 
 
+class Numbers(dict):
+    """Numbers of words in the order in which they are met first."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        return n
+
+
 class WordHashes:
     """Stable 64-bit hashes of words."""
 
     def __init__(self):
-        self.known: dict[str, int] = {}
+        self.numbers, self.hashes = Numbers(), np.zeros(0, np.uint64)
 
-    def of(self, text: str | None) -> list[int]:
-        known, out = self.known, []
-        if len(known) > REMEMBERED:
-            known.clear()
-        for w in words_of(text):
-            h = known.get(w)
-            if h is None:
-                h = known[w] = xxhash.xxh3_64_intdigest(w)
-            out.append(h)
-        return out
+    def of(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The hashes of all texts' words, end to end, and how many each text has."""
+        if len(self.numbers) > REMEMBERED:
+            self.__init__()
+        words = [words_of(t) for t in texts]
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        place = np.fromiter(map(self.numbers.__getitem__, chain.from_iterable(words)), np.int64, int(sizes.sum()))
+        if len(self.numbers) > len(self.hashes):
+            new = map(xxhash.xxh3_64_intdigest, islice(self.numbers, len(self.hashes), None))
+            self.hashes = np.concatenate([self.hashes, np.fromiter(new, np.uint64, len(self.numbers) - len(self.hashes))])
+        return self.hashes[place], sizes
 
 
 def shingles(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -173,9 +183,9 @@ def window_rows(items: DataFrame, item_key: str) -> DataFrame:
 
 
 def shingle_counts(rows: DataFrame, item_key: str, n: int) -> ShingleCounts:
-    """The counts of all items' shingles, 64 counters for each of n."""
+    """The counts of all items' shingles; of their n places in windows about five are of one shingle, so it has 60 counters or more."""
     flat_rows = rows.select(item_key, F.explode("shingles").alias("h")).distinct()
-    size = 1 << int(min(COUNTERS, max(12, int(64 * n).bit_length())))
+    size = 1 << int(min(COUNTERS, max(12, int(12 * n).bit_length())))
 
     def add(own: np.ndarray, batch: pa.RecordBatch) -> None:
         ShingleCounts(own).add(unsigned(batch.column(0)))
@@ -214,7 +224,7 @@ def document_bands(docs: DataFrame, key: str, text: str, known: ShingleCounts, w
     table_of = {s[0]: np.array([rows_of_band(s[0], n) for n in range(2 * STEP * s[3] + 1)]) for s in SIZES}
     gap = max(s[3] for s in SIZES) - 1
 
-    def found(words: np.ndarray, begin: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def found(words: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(piece, band) of pieces of STEP words from the first one on; texts are parted by empty pieces."""
         counts, band_bits = ShingleCounts(held.value[0]), Bits(*held.value[1:])
         one, two = shingles(np.concatenate([words, np.zeros(2, np.uint64)]))
@@ -250,14 +260,12 @@ def document_bands(docs: DataFrame, key: str, text: str, known: ShingleCounts, w
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            parts, pieces = [], []
-            for t in batch.column(1).to_pylist():
-                words = hashes.of(t)
-                n = -(-len(words) // STEP) + gap if words else 0
-                parts.append(np.array(words + [0] * (n * STEP - len(words)), np.uint64))
-                pieces.append(n)
+            words, sizes = hashes.of(batch.column(1).to_pylist())
+            pieces = np.where(sizes > 0, -(-sizes // STEP) + gap, 0)
             begin = np.concatenate([[0], np.cumsum(pieces)])
-            for piece, bands_ in found(np.concatenate(parts) if parts else np.zeros(0, np.uint64), begin):
+            spread = np.zeros(begin[-1] * STEP, np.uint64)
+            spread[np.arange(len(words)) + np.repeat(begin[:-1] * STEP - (np.cumsum(sizes) - sizes), sizes)] = words
+            for piece, bands_ in found(spread):
                 who = np.searchsorted(begin, piece, "right") - 1
                 place = (piece - begin[who]) * STEP
                 columns = [batch.column(0).take(pa.array(who)), pa.array(place.astype(np.int64)), signed(bands_)]
@@ -308,13 +316,17 @@ def stretches(docs: DataFrame, places: DataFrame, key: str, text: str, item_key:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            who, parts = [], []
-            for i, (t, found) in enumerate(zip(batch.column(text).to_pylist(), batch.column("found").to_pylist(), strict=True)):
-                words = np.array(hashes.of(t), np.uint64).view(np.int64)
-                who += [i] * len(found)
-                parts += [words[f["place"] : f["place"] + READ] for f in found]
-            items = batch.column("found").flatten().field(item_key)
-            columns = [batch.column(key).take(pa.array(who, pa.int64())), items, pa.array(parts, pa.list_(pa.int64()))]
+            words, sizes = hashes.of(batch.column(text).to_pylist())
+            lists = batch.column("found")
+            met, many = lists.flatten(), np.diff(lists.offsets.to_numpy())
+            who = np.repeat(np.arange(len(many)), many)
+            place, end = met.field("place").to_numpy(), np.cumsum(sizes)
+            first = (end - sizes)[who] + place
+            size = np.clip(end[who] - first, 0, READ)
+            ends = np.concatenate([[0], np.cumsum(size)])
+            values = words[np.arange(ends[-1]) + np.repeat(first - ends[:-1], size)]
+            part = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), signed(values))
+            columns = [batch.column(key).take(pa.array(who)), met.field(item_key), part]
             yield pa.RecordBatch.from_arrays(columns, [key, item_key, "part"])
 
     met = docs.select(key, text).join(grouped, key).select(key, text, "found")
@@ -363,9 +375,9 @@ def item_words(items: DataFrame, item_key: str, item_text: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            words = [hashes.of(t) for t in batch.column(1).to_pylist()]
-            good = pa.array([len(w) >= RUN for w in words], pa.bool_())
-            lists = pa.array([np.array(w, np.uint64).view(np.int64) for w in words], pa.list_(pa.int64()))
+            words, sizes = hashes.of(batch.column(1).to_pylist())
+            good = pa.array(sizes >= RUN)
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), signed(words))
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(good), lists.filter(good)], [item_key, "words"])
 
     return rows.mapInArrow(run, f"{item_key} {rows.schema[item_key].dataType.simpleString()}, words array<bigint>")
