@@ -63,15 +63,18 @@ def exact() -> Column:
     return complete() & F.col("issue_subtype").eqNullSafe(F.col("p_issue_subtype")) & F.col("evidence").eqNullSafe(F.col("p_evidence"))
 
 
-def report(pairs: DataFrame, detail: bool = True) -> DataFrame:
-    """One row of rates; a rate without a denominator is null.  Without detail, complete is decision and type only."""
+def rate(hit: Column, of: Column) -> Column:
+    """Aggregate: share of the rows that count for which ``hit`` holds; null if none counts."""
+    return F.try_divide(F.count_if(of & hit), F.count_if(of))
+
+
+def report_columns(detail: bool = True) -> list[Column]:
     reject, passed = F.col("decision") == "reject", F.col("decision") == "pass"
     said = F.coalesce("p_decision", F.lit(INVALID))
     right = said == F.col("decision")
     typed = F.coalesce(F.col("violation_type") == F.col("p_violation_type"), F.lit(False))
-    rate = lambda hit, of: F.try_divide(F.count_if(of & hit), F.count_if(of))
     every = F.lit(True)
-    return with_details(pairs).agg(
+    return [
         F.count("*").alias("n"),
         rate(right, every).alias("decision_accuracy"),
         rate(typed, every).alias("type_accuracy"),
@@ -80,7 +83,12 @@ def report(pairs: DataFrame, detail: bool = True) -> DataFrame:
         rate(said == "pass", reject).alias("miss_rate"),
         rate(said == "reject", passed).alias("false_reject_rate"),
         rate(said == INVALID, every).alias("invalid_rate"),
-    )
+    ]
+
+
+def report(pairs: DataFrame, detail: bool = True) -> DataFrame:
+    """One row of rates; a rate without a denominator is null.  Without detail, complete is decision and type only."""
+    return with_details(pairs).agg(*report_columns(detail))
 
 
 def risk(counts: DataFrame, priors: dict[str, float], costs: dict[tuple[str, str], float]) -> DataFrame:
@@ -100,20 +108,21 @@ def per_class(pairs: DataFrame, by: str = "violation_type", detail: bool = True)
     return with_details(pairs).groupBy(by).agg(F.count("*").alias("n"), F.count_if(right).alias("exact"), F.avg(right.cast("int")).alias("accuracy"))
 
 
+def perception_columns(there: str = "p_there") -> list[Column]:
+    seen, kind = F.col(there), F.col("violation_type")
+    subtyped = F.col("issue_subtype").eqNullSafe(F.col("p_issue_subtype"))
+    placed = F.coalesce(F.col("evidence").isin(*PLACES) & (F.col("evidence") == F.col("p_evidence")), F.lit(False))
+    place = rate(placed, seen & kind.isin(*WITH_EVIDENCE))
+    names = ("image_ref_accuracy", "evidence_mean_score", "evidence_recall_at_0_5")
+    return [rate(subtyped, seen & (kind == "image_quality")).alias("quality_subtype_accuracy"), *[place.alias(n) for n in names]]
+
+
 def perception(pairs: DataFrame, there: str = "p_there") -> DataFrame:
     """One row: subtype accuracy over image_quality, place accuracy over the types with a place; rows without any prediction do not count.
 
     there: whether the row has a prediction entry at all; the mean and the recall at one half of a place score of 0 or 1 are its accuracy.
     """
-    seen, kind = F.col(there), F.col("violation_type")
-    subtyped = F.col("issue_subtype").eqNullSafe(F.col("p_issue_subtype"))
-    placed = F.coalesce(F.col("evidence").isin(*PLACES) & (F.col("evidence") == F.col("p_evidence")), F.lit(False))
-    rate = lambda hit, of: F.try_divide(F.count_if(of & hit), F.count_if(of))
-    with_place = seen & kind.isin(*WITH_EVIDENCE)
-    place = rate(placed, with_place)
-    return with_details(pairs).agg(
-        rate(subtyped, seen & (kind == "image_quality")).alias("quality_subtype_accuracy"), place.alias("image_ref_accuracy"), place.alias("evidence_mean_score"), place.alias("evidence_recall_at_0_5")
-    )
+    return with_details(pairs).agg(*perception_columns(there))
 
 
 def parse_rate(predictions: DataFrame, valid: str, samples: DataFrame | None = None, key: str = "sample_id") -> DataFrame:
@@ -138,10 +147,12 @@ def matched(gold: DataFrame, predictions: DataFrame, key: str = "sample_id") ->
 
 def whole_report(pairs: DataFrame, priors: dict[str, float], costs: dict[tuple[str, str], float], valid: str = "p_valid", there: str = "p_there") -> DataFrame:
     """One row with everything: rates, macro-F1 over types, expected cost, perception, parse rate and share of exact answers of all samples."""
-    rest = with_details(pairs).agg(
-        F.avg(F.coalesce(F.col(valid), F.lit(False)).cast("int")).alias("parse_rate"), F.avg((F.coalesce(F.col(valid), F.lit(False)) & exact()).cast("int")).alias("exact_protocol_accuracy")
-    )
-    return beside(report(pairs), type_macro_f1(pairs), risk(confusion(pairs), priors, costs), perception(pairs, there), rest)
+    rest = [
+        F.avg(F.coalesce(F.col(valid), F.lit(False)).cast("int")).alias("parse_rate"), F.avg((F.coalesce(F.col(valid), F.lit(False)) & exact()).cast("int")).alias("exact_protocol_accuracy"),
+    ]
+    # one pass for all rates; the counts by type and by decision are passes of their own
+    rates = with_details(pairs).agg(*report_columns(), *perception_columns(there), *rest)
+    return beside(rates, type_macro_f1(pairs), risk(confusion(pairs), priors, costs))
 
 
 def counts_by(rows: DataFrame, by: tuple[str, ...]) -> DataFrame:
