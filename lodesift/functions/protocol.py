@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodesift.functions.text import once
+
 #: Fixed values of the answer format.
 KEYS = ("decision", "violation_type", "issue_subtype", "evidence")
 DECISIONS = ("pass", "reject")
@@ -51,11 +53,11 @@ def answer_fault(a: Column) -> Column:
 def read_answer(text: str | Column) -> Column:
     """Struct (data, valid) of a strict JSON answer, natively: exactly the four keys, strings or null, all rules kept."""
     t = F.col(text) if isinstance(text, str) else text
-    flat = F.coalesce(t.rlike(FLAT_OBJECT), F.lit(False))
-    data = F.from_json(F.when(flat, t), ANSWER)
-    keys = F.json_object_keys(F.when(flat, t))
-    exact = F.coalesce(F.array_sort(keys) == F.array(*[F.lit(k) for k in sorted(KEYS)]), F.lit(False))
-    return F.struct(data.alias("data"), (flat & exact & answer_fault(data).isNull()).alias("valid"))
+    names = F.array(*[F.lit(k) for k in sorted(KEYS)])
+    parsed = lambda x: F.struct(F.from_json(x, ANSWER).alias("data"), F.array_sort(F.json_object_keys(x)).alias("keys"))
+    judged = lambda p: F.struct(p["data"].alias("data"), (F.coalesce(p["keys"] == names, F.lit(False)) & answer_fault(p["data"]).isNull()).alias("valid"))
+    # a text that is no flat object has neither data nor keys
+    return once(F.when(F.coalesce(t.rlike(FLAT_OBJECT), F.lit(False)), t), lambda x: once(parsed(x), judged))
 
 
 def raw_decisions(rows: DataFrame, key: str, text: str) -> DataFrame:

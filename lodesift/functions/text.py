@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -19,6 +20,11 @@ def col(x: str | Column) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` names it: an expression that is only named is computed at every place."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def trimmed(x: str | Column) -> Column:
     """Without outer white space of any kind; null stays null."""
     return F.regexp_replace(col(x), OUTER_SPACE, "")
@@ -59,10 +65,15 @@ def token_set(x: str | Column) -> Column:
 
 def lexical_distance(a: str | Column, b: str | Column) -> Column:
     """1 less the share of common tokens, 0.05 more if the first characters differ; 0 if a side has no token."""
-    x, y = token_set(a), token_set(b)
-    share = F.size(F.array_intersect(x, y)) / F.nullif(F.size(F.array_union(x, y)), F.lit(0))
-    first = F.when(F.substring(normalized(a), 1, 1) != F.substring(normalized(b), 1, 1), 0.05).otherwise(0.0)
-    return F.when((F.size(x) > 0) & (F.size(y) > 0), 1 - share + first).otherwise(F.lit(0.0))
+
+    def of(t: Column) -> Column:
+        x, y = t["x"], t["y"]
+        share = F.size(F.array_intersect(x, y)) / F.nullif(F.size(F.array_union(x, y)), F.lit(0))
+        first = F.when(t["a"] != t["b"], 0.05).otherwise(0.0)
+        return F.when((F.size(x) > 0) & (F.size(y) > 0), 1 - share + first).otherwise(F.lit(0.0))
+
+    first = lambda v: F.substring(normalized(v), 1, 1)
+    return once(F.struct(token_set(a).alias("x"), token_set(b).alias("y"), first(a).alias("a"), first(b).alias("b")), of)
 
 
 def family(x: str | Column, families: dict[str, tuple[str, ...]]) -> Column:
@@ -75,8 +86,8 @@ def family(x: str | Column, families: dict[str, tuple[str, ...]]) -> Column:
 
 def value_distance(a: str | Column, b: str | Column, families: dict[str, tuple[str, ...]]) -> Column:
     """Lexical distance, 2 more for values of different families, a fifth of it for values of the same."""
-    d, x, y = lexical_distance(a, b), family(a, families), family(b, families)
-    return F.when(x == y, d * 0.2).when(x.isNotNull() & y.isNotNull(), d + 2.0).otherwise(d)
+    parts = F.struct(lexical_distance(a, b).alias("d"), family(a, families).alias("x"), family(b, families).alias("y"))
+    return once(parts, lambda p: F.when(p["x"] == p["y"], p["d"] * 0.2).when(p["x"].isNotNull() & p["y"].isNotNull(), p["d"] + 2.0).otherwise(p["d"]))
 
 
 #: What may stand between the words of a phrase.
@@ -109,11 +120,15 @@ def mentions(text: str | Column, phrase: str | Column) -> Column:
 
 def scattered_mention(text: str | Column, phrase: str | Column, slack: int = 3) -> Column:
     """Whether all words of the phrase stand, in any order, in a window of ``slack`` words more than it has."""
+
+    def of(t: Column) -> Column:
+        words, need = t["words"], t["need"]
+        n = F.size(need)
+        starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(words) - n + 1))
+        return (n > 1) & (F.size(words) >= n) & F.exists(starts, lambda i: F.size(F.array_except(need, F.slice(words, i, n + slack))) == 0)
+
     words = F.regexp_extract_all(F.lower(col(text)), F.lit("([a-z0-9]+)"))
-    need = token_set(phrase)
-    n = F.size(need)
-    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(words) - n + 1))
-    return (n > 1) & (F.size(words) >= n) & F.exists(starts, lambda i: F.size(F.array_except(need, F.slice(words, i, n + slack))) == 0)
+    return once(F.struct(words.alias("words"), token_set(phrase).alias("need")), of)
 
 
 def one_value(values: str | Column, most: int) -> Column:

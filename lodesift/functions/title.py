@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lodesift.functions.text import BETWEEN, col, literal_replacement, normalized, phrase_words, scattered_mention, trimmed
+from lodesift.functions.text import BETWEEN, col, literal_replacement, normalized, once, phrase_words, scattered_mention, trimmed
 
 #: Names of one and the same value.
 ALIASES = {"category": (), "color": (("gray", "grey"), ("navy", "navy blue")), "material": (("aluminum", "aluminium"), ("stainless steel", "stainless-steel"))}
@@ -41,16 +41,26 @@ def mutation(title: str | Column, field: str, old: str | Column, new: str | Colu
     policy is replace_all or no_mention, null with an error: "empty" where a value lacks, "ambiguous" where the old value's
     words stand only in another order.  source_mentions, replaced_mentions and matched_texts account for the mentions.
     """
-    t, pattern = col(title), attribute_pattern(field, old)
-    found = F.coalesce(F.regexp_extract_all(t, pattern, F.lit(0)), F.array().cast("array<string>"))
-    error = F.when(~given(old) | ~given(new), F.lit("empty")).when((F.size(found) == 0) & scattered_mention(t, old), F.lit("ambiguous"))
-    policy = F.when(error.isNull(), F.when(F.size(found) > 0, F.lit("replace_all")).otherwise(F.lit("no_mention")))
-    n = F.when(error.isNull(), F.size(found))
-    return F.struct(
-        F.when(policy == "replace_all", F.regexp_replace(t, pattern, literal_replacement(new))).otherwise(t).alias("title"),
-        F.lit(field).alias("field"), col(old).cast("string").alias("original"), col(new).cast("string").alias("modified"), policy.alias("policy"),
-        n.alias("source_mentions"), n.alias("replaced_mentions"), F.when(error.isNull(), found).alias("matched_texts"), error.alias("error"),
-    )
+    empty = F.array().cast("array<string>")
+
+    def of(v: Column) -> Column:
+        found, error = v["found"], F.when(v["lacks"], F.lit("empty")).when((F.size(v["found"]) == 0) & v["scattered"], F.lit("ambiguous"))
+        policy = F.when(error.isNull(), F.when(F.size(found) > 0, F.lit("replace_all")).otherwise(F.lit("no_mention")))
+        n = F.when(error.isNull(), F.size(found))
+        changed = F.when(policy == "replace_all", F.regexp_replace(v["t"], v["pattern"], literal_replacement(v["new"]))).otherwise(v["t"])
+        return F.struct(
+            changed.alias("title"), F.lit(field).alias("field"), v["old"].alias("original"), v["new"].alias("modified"), policy.alias("policy"), n.alias("source_mentions"),
+            n.alias("replaced_mentions"), F.when(error.isNull(), found).alias("matched_texts"), error.alias("error"),
+        )
+
+    def with_found(v: Column) -> Column:
+        found = F.coalesce(F.regexp_extract_all(v["t"], v["pattern"], F.lit(0)), empty)
+        names = ("t", "old", "new", "pattern", "lacks", "scattered")
+        return once(F.struct(*[v[k].alias(k) for k in names], found.alias("found")), of)
+
+    lacks = ~given(old) | ~given(new)
+    parts = [col(title).alias("t"), col(old).cast("string").alias("old"), col(new).cast("string").alias("new"), attribute_pattern(field, old).alias("pattern"), lacks.alias("lacks")]
+    return once(F.struct(*parts, F.coalesce(scattered_mention(title, old), F.lit(False)).alias("scattered")), with_found)
 
 
 def title_eligible(title: str | Column, field: str, value: str | Column) -> Column:
