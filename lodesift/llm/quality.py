@@ -34,7 +34,7 @@ KINDS = ("prose", "list", "table", "junk")
 #: Most labelled documents that the mixture is fitted to.
 SAMPLE = 2_000
 #: Most lines of a labelled document that the mixture is fitted to.
-LINES = 200
+LINES = 1_000
 COMPONENTS = 40
 STARTS = 3
 #: Share of a component's text in documents labelled prose from which on the component is prose.
