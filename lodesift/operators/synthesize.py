@@ -28,31 +28,40 @@ def nearest_donor(rows: DataFrame, key: str, block: str, same: list[str]) -> Dat
     return out.select(key, F.coalesce(other("s"), other("b")).alias("donor"))
 
 
+def least_two(rows: DataFrame, by: list[str], key: str) -> DataFrame:
+    """(by, _1, _2): the two smallest keys of each group, _2 null if there is one only; a task sends no more than these keys of a group."""
+    place = F.dense_rank().over(Window.partitionBy(*by).orderBy(key))
+    return rows.withColumn("_place", place).where("_place <= 2").groupBy(*by).agg(F.min(key).alias("_1"), F.nullif(F.max(key), F.min(key)).alias("_2"))
+
+
 def compatible_donor(rows: DataFrame, key: str, block: str, fields: tuple[str, ...] = ("color", "material"), fallback: bool = False) -> DataFrame:
-    """(key, donor): the smallest other key of the block whose fields agree or are empty on a side; null if there is none.
+    """(key, donor), one for each row: the smallest other key of the block whose fields agree or are empty on a side; null if there is none.
 
-    fallback: then the smallest other key of the whole block.  The two smallest keys of each combination of values, and of those with any value, name
-    every row's donor, so no pairs of rows are made.
+    fallback: then the smallest other key of the whole block.  Rows of a block with the same values are one class.  The two smallest keys of each
+    class give those of each combination of values, any value among them, and these the two that a class may take, so no pairs of rows are made and
+    each row looks up its class once.
     """
     empty, any_ = "\x00empty", "\x00any"
     value = lambda f: F.coalesce(F.nullif(normalized(f), F.lit("")), F.lit(empty))
     held = rows.select(key, F.col(block).alias("_b"), *[value(f).alias(f) for f in fields])
-    views = held.select(key, "_b", *[F.array(F.col(f), F.lit(any_)).alias(f) for f in fields])
+    by, own = ["_b", *fields], [f"_own{i}" for i in range(len(fields))]
+    classes = least_two(held.where(F.col(key).isNotNull() & F.col("_b").isNotNull()), by, key)
+    views = classes.select("_b", *[F.array(F.col(f), F.lit(any_)).alias(f) for f in fields], F.explode(F.array_compact(F.array("_1", "_2"))).alias(key))
     for f in fields:
         views = views.withColumn(f, F.explode(f))
-    least = views.groupBy("_b", *fields).agg(F.min(key).alias("_1"))
-    second = views.join(least, ["_b", *fields]).where(F.col(key) != F.col("_1")).groupBy("_b", *fields).agg(F.min(key).alias("_2"))
-    two = least.join(second, ["_b", *fields], "left")
-    # a filled value meets itself and empty ones, an empty value meets any
-    asked = held.select(key, "_b", *[F.when(F.col(f) == empty, F.array(F.lit(any_))).otherwise(F.array(F.col(f), F.lit(empty))).alias(f) for f in fields])
+    two = least_two(views, by, key)
+    # a filled value meets itself and empty ones, an empty value meets any; in the whole block (not _fits) all do
+    asked = classes.select("_b", *fields, *[F.col(f).alias(o) for f, o in zip(fields, own, strict=True)], F.explode(F.array(*[F.lit(x) for x in (True, False)[: 1 + fallback]])).alias("_fits"))
     for f in fields:
-        asked = asked.withColumn(f, F.explode(f))
-    other = F.when(F.col(key) != F.col("_1"), F.col("_1")).otherwise(F.col("_2"))
-    found = asked.join(two, ["_b", *fields]).groupBy(key).agg(F.min(other).alias("donor"))
-    if fallback:
-        whole = held.select(key, "_b", *[F.lit(any_).alias(f) for f in fields]).join(two, ["_b", *fields]).select(key, other.alias("_any"))
-        return whole.join(found, key, "left").select(key, F.coalesce("donor", "_any").alias("donor"))
-    return rows.select(key).join(found, key, "left")
+        met = F.when(~F.col("_fits") | (F.col(f) == empty), F.array(F.lit(any_))).otherwise(F.array(F.col(f), F.lit(empty)))
+        asked = asked.withColumn(f, F.explode(met))
+    # Spark guesses a side's size from compressed files and without what was exploded: by that guess it would send large sides through the driver
+    both = lambda fits: F.array_sort(F.array_distinct(F.array_compact(F.flatten(F.collect_list(F.when(F.col("_fits") == fits, F.array("_1", "_2")))))))
+    found = asked.hint("merge").join(two.hint("merge"), by).groupBy("_b", *own).agg(both(True).alias("_fit"), both(False).alias("_all"))
+    found = found.select("_b", *[F.col(o).alias(f) for f, o in zip(fields, own, strict=True)], "_fit", "_all")
+    other = lambda a: F.when(F.col(key) != F.get(a, F.lit(0)), F.get(a, F.lit(0))).when(F.col(key).isNotNull(), F.get(a, F.lit(1)))
+    each = held.join(found.hint("merge"), by, "left").groupBy(key).agg(F.min(other("_fit")).alias("_fit"), F.min(other("_all")).alias("_all"), F.count("*").alias("_n"))
+    return each.select(key, F.coalesce("_fit", "_all").alias("donor"), F.explode(F.array_repeat(F.lit(0), F.col("_n").cast("int")))).drop("col")
 
 
 def farthest_value(rows: DataFrame, key: str, value: str, distance, candidates: DataFrame, seed: int = 42) -> DataFrame:

@@ -201,6 +201,30 @@ def test_compatible_donors_match_brute_force(spark):
     assert synthesize.compatible_donor(df.limit(0), "k", "b").count() == 0
 
 
+@pytest.mark.parametrize("fallback", [False, True])
+def test_compatible_donors_of_odd_rows_match_brute_force(spark, fallback):
+    rng = random.Random(10)
+    rows = [(rng.choice([None, *range(70)]), rng.choice(["x", "y", "z", None]), rng.choice(["Red", "red ", "blue", "", None]), rng.choice(["oak", None, "tin", "ash"])) for _ in range(60)] + [(99, "alone", "Red", "oak"), (None, "x", "Red", None)]
+    plain_ = lambda v: (v or "").strip().lower()
+    fits = lambda a, b: all(not plain_(p) or not plain_(q) or plain_(p) == plain_(q) for p, q in zip(a[2:], b[2:], strict=True))
+    near = [(a, b) for a in rows for b in rows if None not in (a[0], b[0], a[1]) and a[0] != b[0] and a[1] == b[1]]
+    of = lambda k, pairs: min((b[0] for a, b in pairs if a[0] == k), default=None)
+    some, whole = [(a, b) for a, b in near if fits(a, b)], near if fallback else []
+    best = {k: x if (x := of(k, some)) is not None else of(k, whole) for k in {a[0] for a in rows}}
+    df = spark.createDataFrame(rows, "k long, b string, color string, material string")
+    got = [tuple(r) for r in synthesize.compatible_donor(df, "k", "b", fallback=fallback).collect()]
+    assert sorted(got, key=repr) == sorted(((a[0], best[a[0]]) for a in rows), key=repr)
+
+
+@pytest.mark.parametrize("fallback", [False, True])
+def test_compatible_donors_send_nothing_through_the_driver(spark, tmp_path, fallback):
+    # rows whose file is far smaller than what is made of them
+    spark.range(20_000).selectExpr("id AS k", "concat('b', id % 7) AS b", "concat('c', id % 5) AS color", "concat('m', id % 3) AS material").write.parquet(f"{tmp_path}/rows")
+    found = synthesize.compatible_donor(spark.read.parquet(f"{tmp_path}/rows"), "k", "b", fallback=fallback)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert found.where("donor is not null and donor <> k").count() == 20_000
+
+
 def test_donors(spark):
     rows = spark.createDataFrame([("a", "x", 1), ("b", "x", 1), ("c", "x", 2), ("d", "y", 1)], "k string, t string, c int")
     assert {tuple(r) for r in synthesize.nearest_donor(rows, "k", "t", ["c"]).collect()} == {("a", "b"), ("b", "a"), ("c", "a"), ("d", None)}
